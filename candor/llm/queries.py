@@ -7,16 +7,29 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import quality
+from . import packing, quality
 from .common import read_table
 
 
+def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packing.cut(read_table(spark, sf_dir, "documents"), tokenizer_path())
+    digest = pieces.select("doc_id", "piece", "start", "length", F.crc32("tokens").alias("ids_crc32"))  # before packing: places depend on lengths alone
+    return packing.assign(digest)
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality.quality_rules(read_table(spark, sf_dir, "documents").select("doc_id", "text"), read_table(spark, sf_dir, "labels"))
     return judged.select("doc_id", *quality.STATS, "base_failed", "kept", F.col("score").alias("ratio_score"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_best_fit_packing": op1_best_fit_packing,
     "op6_quality_rules": op6_quality_rules,
 }
 
