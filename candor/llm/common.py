@@ -44,9 +44,10 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def sized_broadcast(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES) -> DataFrame:
-    """Marks the frame for broadcast if its counted rows fit the limit; else Spark shuffles it."""
-    return F.broadcast(df) if df.count() * row_bytes <= limit else df
+def sized_broadcast(df: DataFrame, row_bytes: int, more: Column | None = None, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """Marks the frame for broadcast if its rows, and `more` bytes of each, are counted and fit the limit; else Spark shuffles it."""
+    rows, extra = df.agg(F.count(F.lit(1)), F.sum(more) if more is not None else F.lit(0)).first()
+    return F.broadcast(df) if rows * row_bytes + (extra or 0) <= limit else df
 
 
 def fresh(taken: list[str], name: str) -> str:
