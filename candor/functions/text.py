@@ -67,4 +67,4 @@ def snippet(text: Column, n: int = 200) -> Column:
 
 def category_list(categories: Column, n: int = 8) -> Column:
     """The first n categories of a comma-separated list."""
-    return F.slice(F.filter(F.transform(F.split(categories, ","), F.trim), lambda c: c != ""), 1, n)
+    return F.slice(F.filter(F.transform(F.split(categories, ","), lambda c: F.trim(c)), lambda c: c != ""), 1, n)
