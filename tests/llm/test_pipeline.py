@@ -9,7 +9,8 @@ def test_stages_against_brute_force(spark, sf):
     labels = spark.read.parquet(f"{sf}/labels.parquet")
     items = [tuple(r) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
     rows = {r.doc_id: r for r in docs.collect()}
-    want = {i: r.text for i, r in rows.items() if i in {x.doc_id for x in quality.quality_rules(docs, labels).filter("kept").collect()}}
+    kept = {x.doc_id for x in quality.quality_rules(docs, labels).filter("kept").collect()}
+    want = {i: r.text for i, r in rows.items() if i in kept}
     for name, stage in corpus_pipeline.STAGES:
         if name == "line_dedup":
             want = {d: t for d, *_, t in test_linededup.brute([(i, t, rows[i].source) for i, t in want.items()], 10)}
