@@ -25,7 +25,6 @@ from __future__ import annotations
 import math
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -38,9 +37,9 @@ from .common import doc_crc, written
 
 ORDER = 2
 #: Characters a block holds on average; a worker's memory is a few dozen bytes each.
-BLOCK_CHARS = 12_000_000
+BLOCK_CHARS = 6_000_000
 #: Characters whose n-grams a shard adds up, on average.
-SHARD_CHARS = 24_000_000
+SHARD_CHARS = 16_000_000
 #: One training document in so many lends its tokens to weight learning.
 DEV = 50
 BUCKETS = 24
@@ -62,32 +61,36 @@ class Grams:
     """The tokens of some documents: places of their n-grams and contexts among the sorted distinct keys."""
 
     def __init__(self, texts: list[bytes], order: int):
-        split = [t.lower().split() for t in texts]
-        ids: dict[bytes, int] = {}
-        flat = np.fromiter((ids.setdefault(w, len(ids)) for w in chain.from_iterable(split)), np.int64)
-        hashes = np.fromiter(map(xxhash.xxh64_intdigest, ids), np.uint64, len(ids)) | _ODD
-        pad = order - 1
-        sizes = np.fromiter(map(len, split), np.int64, len(split)) + pad + 1
-        stops = np.cumsum(sizes)
-        line = np.full(int(stops[-1]), _BEGIN)
+        words, flat, sizes = _Ids(), [], []
+        for text in texts:
+            own = np.array(list(map(words.__getitem__, text.lower().split())), np.int32)
+            flat.append(own)
+            sizes.append(len(own) + order)
+        flat, sizes = np.concatenate(flat), np.array(sizes)
+        hashes = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words)) | _ODD
+        pad, stops = order - 1, np.cumsum(sizes)
+        kinds = np.append(hashes, [_END, _BEGIN])
+        line = np.full(int(stops[-1]), len(words) + 1, np.int32)
         token = np.ones(len(line), bool)
         for p in range(pad):
             token[stops - sizes + p] = False
-        line[stops - 1] = _END
         token[stops - 1] = False
-        line[token] = hashes[flat] if len(flat) else flat.astype(np.uint64)
+        line[token] = flat
+        line[stops - 1] = len(words)
         token[stops - 1] = True
-        rolled, keys, begins = line, [line[token]], [_BEGIN]
-        for _ in range(1, order):
-            rolled = np.concatenate([line[:1], _mixed(rolled[:-1], line[1:])])
-            keys.append(rolled[token])
-            begins.append(_mixed(begins[-1:], np.array([_BEGIN]))[0])
         #: Tokens up to and with each document, and each one's first token.
         self.ends = np.cumsum(sizes - pad)
         self.first = np.concatenate([[0], self.ends[:-1]]).astype(np.int64)
-        self.keys = np.unique(np.concatenate([*keys, np.array(begins[: order - 1], np.uint64)]))
-        self.own = [np.searchsorted(self.keys, k) for k in keys]
-        self.begins = np.searchsorted(self.keys, np.array(begins[: order - 1], np.uint64))
+        spelled = kinds[line]
+        rolled, longer, begins = spelled, [], [_BEGIN]
+        for _ in range(1, order):
+            rolled = np.concatenate([spelled[:1], _mixed(rolled[:-1], spelled[1:])])
+            longer.append(rolled[token])
+            begins.append(_mixed(begins[-1:], np.array([_BEGIN]))[0])
+        begins = np.array(begins[:pad], np.uint64)
+        self.keys = _distinct(np.concatenate([kinds[:-1], *longer, begins]))
+        self.begins = np.searchsorted(self.keys, begins)
+        self.own = [np.searchsorted(self.keys, kinds)[line[token]], *[_places(self.keys, k) for k in longer]]
         self.context = []
         for own, begin in zip(self.own, self.begins, strict=False):
             before = np.concatenate([own[:1], own[:-1]])
@@ -95,6 +98,27 @@ class Grams:
             self.context.append(before)
 
 
+class _Ids(dict):
+    """Numbers words in the order in which they come."""
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = n = len(self)
+        return n
+
+
+def _distinct(keys: np.ndarray) -> np.ndarray:
+    keys = np.sort(keys)
+    return keys[np.concatenate([[True], keys[1:] != keys[:-1]])]
+
+
+def _places(keys: np.ndarray, of: np.ndarray) -> np.ndarray:
+    """Where each key stands among the sorted distinct keys. Looking up in order is far faster than at random."""
+    order = np.argsort(of)
+    out = np.empty(len(of), np.int64)
+    out[order] = np.searchsorted(keys, of[order])
+    return out
+
+
 def _shards(keys: np.ndarray, shards: int) -> np.ndarray:
     """Where each shard's share of the sorted keys begins."""
     edges = np.array([(s << 64) // shards for s in range(shards)], np.uint64)
@@ -180,7 +204,9 @@ def _answer(table: pa.Table) -> pa.Table:
     counts = np.concatenate([_counts(c.as_py()) for c in table["counts"]])
     blocks = table["block"].to_numpy()
     sizes = np.array([len(p) for p in parts])
-    keys, at = np.unique(np.concatenate(parts), return_inverse=True)
+    asked = np.concatenate(parts)
+    keys = _distinct(asked)
+    at = _places(keys, asked)
     every = np.bincount(at, counts, len(keys)).astype(np.int64)
     kept = np.bincount(at, np.where(np.repeat(blocks, sizes) >= 0, counts, 0), len(keys)).astype(np.int64)
     tokens = every[(keys & _ODD) == _ODD]
