@@ -51,21 +51,27 @@ def first_week(reviews: DataFrame, users: DataFrame) -> DataFrame:
     return since.join(week, hit, "left").groupBy("user_id").agg(F.count("review_id").alias("first_week_count"))
 
 
-def context_features(reviews: DataFrame, businesses: DataFrame, users: DataFrame) -> DataFrame:
-    """Per review: distance from both averages, hours since the business's last review, place in its sequence, burst."""
+CONTEXT = ["stars_delta_from_business_mean", "stars_delta_from_user_mean", "hours_since_prev_review_on_business", "business_review_count_at_time", "is_in_burst_window"]
+
+
+def with_context(reviews: DataFrame, businesses: DataFrame, users: DataFrame) -> DataFrame:
+    """Adds to each review: distance from both averages, hours since the business's last review, place in its sequence, burst.
+
+    The columns ride along through one window and the joins, so nothing is joined back by review.
+    """
     in_order = Window.partitionBy("business_id").orderBy("date", "review_id")
-    placed = reviews.select(
-        "review_id", "user_id", "business_id", "stars", "date",
-        (seconds_between(F.lag("date").over(in_order), F.col("date")) / 3600.0).alias("hours_since_prev_review_on_business"),
-        F.row_number().over(in_order).alias("business_review_count_at_time"),
-    )
+    placed = reviews.withColumns({
+        "hours_since_prev_review_on_business": seconds_between(F.lag("date").over(in_order), F.col("date")) / 3600.0, "business_review_count_at_time": F.row_number().over(in_order),
+    })
     means = businesses.select("business_id", F.col("stars").alias("_business_mean"))
     own = users.select("user_id", F.col("average_stars").alias("_user_mean"))
-    joined = with_burst_flag(placed).join(means, "business_id", "left").join(own, "user_id", "left")
-    return joined.select(
-        "review_id", (F.col("stars") - F.col("_business_mean")).alias("stars_delta_from_business_mean"), (F.col("stars") - F.col("_user_mean")).alias("stars_delta_from_user_mean"),
-        "hours_since_prev_review_on_business", "business_review_count_at_time", F.col("in_burst").alias("is_in_burst_window"),
-    )
+    joined = with_burst_flag(placed).withColumnRenamed("in_burst", "is_in_burst_window").join(means, "business_id", "left").join(own, "user_id", "left")
+    deltas = {"stars_delta_from_business_mean": F.col("stars") - F.col("_business_mean"), "stars_delta_from_user_mean": F.col("stars") - F.col("_user_mean")}
+    return joined.withColumns(deltas).drop("_business_mean", "_user_mean")
+
+
+def context_features(reviews: DataFrame, businesses: DataFrame, users: DataFrame) -> DataFrame:
+    return with_context(reviews.select("review_id", "user_id", "business_id", "stars", "date"), businesses, users).select("review_id", *CONTEXT)
 
 
 def hour_entropy(reviews: DataFrame) -> DataFrame:

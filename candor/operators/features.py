@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from candor.functions import text as text_functions
 from candor.functions.sentiment import Scorer, lexicon_scorer
 from candor.functions.stats import days_elapsed
-from candor.operators.behaviour import context_features, reviewer_features
+from candor.operators.behaviour import reviewer_features, with_context
 from candor.operators.similarity import vector_similarity
 
 IDS = ("review_id", "user_id", "business_id")
@@ -29,8 +29,8 @@ HARD_LABEL = 0.5
 SPLIT, TUNE_FROM = "2020-01-01", "2019-01-01"
 
 
-def content_features(reviews: DataFrame, scorer: Scorer = lexicon_scorer) -> DataFrame:
-    """Everything that the text alone tells. Only sentiment needs Python workers, in Arrow batches."""
+def with_content(reviews: DataFrame, scorer: Scorer = lexicon_scorer) -> DataFrame:
+    """The reviews with everything that the text alone tells in its place. Only sentiment needs Python workers, in Arrow batches."""
 
     def sentiment(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         score = scorer()
@@ -39,14 +39,16 @@ def content_features(reviews: DataFrame, scorer: Scorer = lexicon_scorer) -> Dat
 
     told = F.pandas_udf(sentiment, ", ".join(f"{c} float" for c in SENTIMENT))
     named = {k: v.alias(k) for k, v in text_functions.features(F.col("text")).items()}
-    out = reviews.select("review_id", *named.values(), text_functions.flesch(F.col("text")).cast("float").alias("flesch_reading_ease"), told(F.col("text")).alias("_s"))
-    return out.select("review_id", *named, *[F.col(f"_s.{c}").alias(c) for c in SENTIMENT], "flesch_reading_ease")
+    rest = [c for c in reviews.columns if c != "text"]
+    out = reviews.select(*rest, *named.values(), text_functions.flesch(F.col("text")).cast("float").alias("flesch_reading_ease"), told(F.col("text")).alias("_s"))
+    return out.select(*rest, *named, *[F.col(f"_s.{c}").alias(c) for c in SENTIMENT], "flesch_reading_ease")
 
 
 def feature_table(reviews: DataFrame, businesses: DataFrame, users: DataFrame, snapshot: str, embeddings: DataFrame | None = None, scorer: Scorer = lexicon_scorer) -> DataFrame:
     """All features by review. embeddings: review_id and a unit vector; without them both similarities are null."""
     base = reviews.select("review_id", "user_id", "business_id", "stars", "date")
-    out = base.join(content_features(reviews, scorer), "review_id", "left").join(context_features(reviews, businesses, users), "review_id", "left").join(reviewer_features(reviews, users, snapshot), "user_id", "left")
+    told = with_content(reviews.select(*base.columns, "text"), scorer)  # before any shuffle, so texts are left behind
+    out = with_context(told, businesses, users).join(reviewer_features(reviews, users, snapshot), "user_id", "left")
     out = out.withColumn("account_age_days_at_review", days_elapsed(F.col("yelping_since"), F.col("date")).cast("int"))
     for key, name in (("user_id", "max_sim_to_user_history"), ("business_id", "max_sim_to_business_reviews")):
         if embeddings is None:
