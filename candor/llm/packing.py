@@ -27,6 +27,7 @@ from itertools import accumulate, chain, pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -41,7 +42,9 @@ WIDTH = 6
 #: Ranks are counted in so many parts of each length, so a length that most pieces share is no single task.
 SALTS = 64
 #: Parts of texts whose ids a worker remembers.
-CACHED = 800_000
+CACHED = 300_000
+#: Characters that are tokenized at a time; a worker's memory is some ten times as many bytes.
+SLICE_CHARS = 1 << 20
 
 
 #: How the vocabulary splits lower-cased Latin-1 text into parts, each encoded by itself; fixed values.
@@ -117,16 +120,18 @@ def known_parts(path: str) -> _Parts:
 def cut(docs: DataFrame, tokenizer_path: str, *, capacity: int = CAPACITY, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Pieces: the id, piece, start, length, tokens (little-endian unsigned 32-bit ids)."""
     schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), T.StructField("piece", T.IntegerType()), T.StructField("start", T.LongType()), T.StructField("length", T.LongType()), T.StructField("tokens", T.BinaryType())])
-    end = int(end_id).to_bytes(4, "little")
+    mark = int(end_id).to_bytes(4, "little")
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts = known_parts(tokenizer_path)
         for batch in batches:
             texts = batch.column(1)
-            for at in range(0, batch.num_rows, 1000):
+            sizes = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+            cuts = np.flatnonzero(np.diff(sizes // SLICE_CHARS, prepend=0)) + 1
+            for at, end in pairwise(sorted({0, *cuts.tolist(), batch.num_rows})):
                 row, number, length, tokens = [], [], [], []
-                for i, ids in enumerate(parts.tokenize([t.as_py() or "" for t in texts[at : at + 1000]]), at):
-                    ids += end
+                for i, ids in enumerate(parts.tokenize([t.as_py() or "" for t in texts[at:end]]), at):
+                    ids += mark
                     for k, s in enumerate(range(0, len(ids), 4 * capacity)):
                         row.append(i)
                         number.append(k)
@@ -134,6 +139,7 @@ def cut(docs: DataFrame, tokenizer_path: str, *, capacity: int = CAPACITY, end_i
                         length.append(len(tokens[-1]) // 4)
                 n = np.array(number, np.int32)
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row, pa.int64())), pa.array(n), pa.array(n.astype(np.int64) * capacity), pa.array(length, pa.int64()), pa.array(tokens, pa.binary())], names=schema.names)
+        pa.default_memory_pool().release_unused()  # the worker waits for its next task beside others
 
     return docs.select(id_col, text_col).mapInArrow(pieces, schema)
 
