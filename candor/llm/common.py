@@ -5,6 +5,7 @@ from __future__ import annotations
 import functools
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -84,3 +85,10 @@ def computed(df: DataFrame, **columns: Column) -> DataFrame:
     """
     new = {c.lower() for c in columns}
     return df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in new], F.inline(F.array(F.struct(*[v.alias(k) for k, v in columns.items()]))))
+
+
+def shielded(df: DataFrame, *keep: str) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """The frame with all columns but `keep` under names that no result can clash with, and what gives them their names back."""
+    low = {c.lower() for c in keep}
+    hidden = {c: c if c.lower() in low else fresh(df.columns, f"_own_{i}") for i, c in enumerate(df.columns)}
+    return df.select(*[F.col(f"`{c}`").alias(h) for c, h in hidden.items()]), lambda out: out.select(*[F.col(h).alias(c) for c, h in hidden.items()])

@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import computed, fresh, lower_ascii, sized_broadcast, text_key, written
+from .common import computed, fresh, lower_ascii, shielded, sized_broadcast, text_key, written
 
 WINDOW = 10
 #: Words before lower-casing: A-Z are no separators then.
@@ -107,9 +107,9 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, *, window: int = WINDOW
 def cut_spans(docs: DataFrame, items: DataFrame, *, window: int = WINDOW, text_col: str = "text") -> DataFrame:
     """The documents with the words inside hits, and what stands before each of them since the word before, cut out."""
     parts, spans = fresh(docs.columns, "_parts"), fresh(docs.columns, "_spans")
-    keep = {c: fresh(docs.columns, f"_own_{i}") for i, c in enumerate(docs.columns) if c != text_col}
-    found = scan(docs.select(F.col(text_col), *[F.col(c).alias(k) for c, k in keep.items()]), items, window=window, text_col=text_col)
+    own, restored = shielded(docs, text_col)
+    found = scan(own, items, window=window, text_col=text_col)
     found = computed(found, **{parts: F.regexp_extract_all(F.coalesce(text_col, F.lit("")), F.lit(rf"(?s)[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*(?:{WORD}|\z)"), F.lit(0)), spans: F.col("hit_spans")})
     inside = lambda i: F.exists(F.col(spans), lambda s: (s["p"] <= i + 1) & (i + 1 < s["p"] + s["n"]))
     left = F.array_join(F.filter(F.col(parts), lambda _, i: ~inside(i)), "")
-    return found.withColumn(text_col, F.when(F.col("contaminated"), left).otherwise(F.col(text_col))).select(*[F.col(keep[c]).alias(c) if c in keep else F.col(c) for c in docs.columns])
+    return restored(found.withColumn(text_col, F.when(F.col("contaminated"), left).otherwise(F.col(text_col))))

@@ -23,7 +23,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import computed, fresh, sized_broadcast, text_key, written
+from .common import computed, fresh, shielded, sized_broadcast, text_key, written
 
 MIN_SITES = 10
 #: 2^11 registers: a standard error of 2.3 %.
@@ -78,3 +78,9 @@ def drop_boilerplate(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     out = computed(found, n_lines=count.cast("long"), n_removed=F.when(F.col(gone).isNotNull(), count - F.size(left)).otherwise(0).cast("long"), **{text_col: F.when(F.col(gone).isNotNull(), F.array_join(left, "\n")).otherwise(F.col(text_col))})
     order = [c for c in docs.columns if c.lower() not in ("n_lines", "n_removed")]
     return out.select(*order, "n_lines", "n_removed")
+
+
+def clean_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source", min_sites: int = MIN_SITES, log_k: int = LOG_K) -> DataFrame:
+    """The documents with cleaned texts and their own columns alone."""
+    own, restored = shielded(docs, id_col, text_col, site_col)
+    return restored(drop_boilerplate(own, id_col=id_col, text_col=text_col, site_col=site_col, min_sites=min_sites, log_k=log_k))

@@ -24,7 +24,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, computed, fresh, sized_broadcast
+from .common import WORD, computed, fresh, shielded, sized_broadcast
 
 #: Hash buckets of the multinomials. Two counts each, so at most 256 KB reach the driver.
 BUCKETS = 1 << 14
@@ -128,3 +128,9 @@ def judge(docs: DataFrame, model: RatioModel | None, *, text_col: str = "text",
 def quality_rules(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", buckets: int = BUCKETS, spread: float = SPREAD) -> DataFrame:
     """Learns the ratio from docs and labels, and judges every document."""
     return judge(docs, fit_ratio(docs, labels, id_col=id_col, text_col=text_col, buckets=buckets, spread=spread), text_col=text_col, buckets=buckets)
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", buckets: int = BUCKETS, spread: float = SPREAD) -> DataFrame:
+    """The documents that are kept, with their own columns alone."""
+    own, restored = shielded(docs, id_col, text_col)
+    return restored(quality_rules(own, labels, id_col=id_col, text_col=text_col, buckets=buckets, spread=spread).filter("kept"))

@@ -16,13 +16,12 @@ from candor.llm.queries import tokenizer_path
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents that fail the base rules or look unlike the trusted target."""
-    return quality.quality_rules(docs, read_table(spark, sf_dir, "labels")).filter("kept").select(*docs.columns)
+    return quality.keep_good(docs, read_table(spark, sf_dir, "labels"))
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Takes boilerplate lines out of the texts; n_chars follows."""
-    out = linededup.drop_boilerplate(docs)
-    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+    return linededup.clean_lines(docs).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
