@@ -11,17 +11,24 @@ from candor.operators.behaviour import first_week, gap_stats, with_burst_flag
 from candor.operators.similarity import text_similarity
 
 
+def with_text_measures(reviews: DataFrame) -> DataFrame:
+    text = F.coalesce("text", F.lit(""))
+    n = F.length(text)
+    return reviews.withColumns({"text_len": n, "exclamation_count": F.regexp_count(text, F.lit("!")), "caps_ratio": ratio(F.regexp_count(text, F.lit("[A-Z]")).cast("double"), n)})
+
+
 def enriched(reviews: DataFrame, businesses: DataFrame, users: DataFrame) -> DataFrame:
-    """Authors without a user row have null user columns, no friends and no first week."""
+    """Authors without a user row have null user columns, no friends and no first week.
+
+    Texts are measured before the first shuffle, so they only travel if the caller selects them.
+    """
     b = businesses.select("business_id", F.col("stars").alias("business_mean_stars"), F.col("review_count").alias("business_total_reviews"))
     u = users.select("user_id", F.col("review_count").alias("user_review_count"), "yelping_since", "friends", "fans", F.col("average_stars").alias("user_avg_stars"), "compliment_photos")
-    joined = with_burst_flag(reviews).withColumnRenamed("in_burst", "in_burst_window").join(b, "business_id", "left").join(u, "user_id", "left")
+    measured = with_text_measures(reviews)
+    joined = with_burst_flag(measured).withColumnRenamed("in_burst", "in_burst_window").join(b, "business_id", "left").join(u, "user_id", "left")
     joined = joined.join(gap_stats(reviews), "user_id", "left").join(first_week(reviews, users), "user_id", "left")
-    text = F.coalesce("text", F.lit(""))
-    n = F.length(text)
     return joined.withColumns({
-        "account_age_days_at_review": days_crossed(F.col("yelping_since"), F.col("date")), "first_week_count": F.coalesce("first_week_count", F.lit(0)), "text_len": n,
-        "exclamation_count": F.regexp_count(text, F.lit("!")), "caps_ratio": ratio(F.regexp_count(text, F.lit("[A-Z]")).cast("double"), n), "friend_count": friend_count(F.col("friends")),
+        "account_age_days_at_review": days_crossed(F.col("yelping_since"), F.col("date")), "first_week_count": F.coalesce("first_week_count", F.lit(0)), "friend_count": friend_count(F.col("friends")),
     })
 
 

@@ -218,9 +218,9 @@ def embedding_max_sim_label(spark, d):
 
 def _enriched(spark: SparkSession, d: str) -> DataFrame:
     """Copies of whole texts decide the similarity here, so the voting queries stay cheap to check."""
-    reviews = adapters.reviews(spark, d, text=True)
-    copies = reviews.groupBy("user_id", F.md5(F.coalesce("text", F.lit(""))).alias("_copy")).agg(F.count(F.lit(1)).alias("_n"))
-    out = enrich.enriched(reviews, adapters.businesses(spark, d), adapters.users(spark, d)).withColumn("_copy", F.md5(F.coalesce("text", F.lit(""))))
+    reviews = adapters.reviews(spark, d, text=True).withColumn("_copy", F.md5(F.coalesce("text", F.lit(""))))
+    copies = reviews.groupBy("user_id", "_copy").agg(F.count(F.lit(1)).alias("_n"))
+    out = enrich.enriched(reviews, adapters.businesses(spark, d), adapters.users(spark, d))
     return out.join(copies, ["user_id", "_copy"], "left").withColumn("max_dup_sim", F.when(F.col("_n") > 1, 1.0).otherwise(0.0)).drop("_copy", "_n")
 
 
