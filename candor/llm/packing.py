@@ -302,19 +302,20 @@ def plan_sequences(counts: dict[int, int], capacity: int = CAPACITY, nodes: int
     return Plan(done + best, capacity)
 
 
-def _slots(plan: Plan) -> dict[int, tuple[np.ndarray, ...]]:
-    """By length: first rank, first sequence, pieces a sequence, and first offset of each filling that uses it."""
-    found: dict[int, list[tuple[int, int, int, int]]] = defaultdict(list)
+def _slots(plan: Plan) -> pa.Table:
+    """A row a filling and length in it: the ranks it takes, its first sequence, pieces a sequence, and first offset."""
+    rows: list[tuple[int, ...]] = []
     rank: Counter = Counter()
     base = 0
     for filling, times in plan.fillings:
         offset = 0
         for x, k in sorted(Counter(filling).items(), reverse=True):
-            found[x].append((rank[x], base, k, offset))
+            rows.append((x, rank[x], rank[x] + k * times, base, k, offset))
             rank[x] += k * times
             offset += x * k
         base += times
-    return {x: tuple(np.array(c, np.int64) for c in zip(*rows, strict=True)) for x, rows in found.items()}
+    names = ["_length", "_from", "_to", "_base", "_each", "_at"]
+    return pa.table({n: pa.array([r[i] for r in rows], pa.int64()) for i, n in enumerate(names)})
 
 
 def assign(pieces: DataFrame, *, capacity: int = CAPACITY, nodes: int = NODES) -> DataFrame:
@@ -325,26 +326,14 @@ def assign(pieces: DataFrame, *, capacity: int = CAPACITY, nodes: int = NODES) -
     by_length = Window.partitionBy("length").orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)
     before = counted.select("length", "_salt", F.coalesce(F.sum("_n").over(by_length), F.lit(0)).alias("_before"))
     histogram = {int(r["length"]): int(r["n"]) for r in counted.groupBy("length").agg(F.sum("_n").alias("n")).collect()}  # at most `capacity` rows
-    slots = _slots(plan_sequences(histogram, capacity, nodes))
+    # a row for each length of each filling, of which a plan over so few lengths has thousands at most
+    slots = F.broadcast(pieces.sparkSession.createDataFrame(_slots(plan_sequences(histogram, capacity, nodes))))
     within = Window.partitionBy("length", "_salt").orderBy(F.xxhash64(*pieces.columns), *[c for c in pieces.columns if c != "length"])
     ranked = salted.withColumn("_rank", F.row_number().over(within)).join(F.broadcast(before), ["length", "_salt"])  # at most capacity * SALTS rows
-    ranked = ranked.select(*pieces.columns, (F.col("_before") + F.col("_rank") - 1).alias("_rank"))
-    schema = T.StructType([*pieces.schema.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
-
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            length, rank = (batch.column(n).to_numpy(zero_copy_only=False) for n in ("length", "_rank"))
-            sequence, offset = np.zeros(len(length), np.int64), np.zeros(len(length), np.int64)
-            for x in np.unique(length).tolist():
-                own = length == x
-                first, base, each, at = slots[x]
-                i = np.searchsorted(first, rank[own], "right") - 1
-                k = rank[own] - first[i]
-                sequence[own] = base[i] + k // each[i]
-                offset[own] = at[i] + k % each[i] * x
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(sequence), pa.array(offset)], names=schema.names)
-
-    return ranked.mapInArrow(place, schema)
+    ranked = ranked.withColumn("_rank", F.col("_before") + F.col("_rank") - 1)
+    placed = ranked.join(slots, (F.col("length") == F.col("_length")) & (F.col("_rank") >= F.col("_from")) & (F.col("_rank") < F.col("_to")))
+    nth = F.col("_rank") - F.col("_from")
+    return placed.select(*pieces.columns, (F.col("_base") + F.floor(nth / F.col("_each"))).cast("long").alias("sequence_id"), (F.col("_at") + nth % F.col("_each") * F.col("length")).alias("offset"))
 
 
 def pack(docs: DataFrame, tokenizer_path: str, *, capacity: int = CAPACITY, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", nodes: int = NODES) -> DataFrame:
