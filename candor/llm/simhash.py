@@ -169,7 +169,10 @@ def _edges(found: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatc
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """node and root for every node of the edges (a, b): alternating large-star and small-star steps until nothing changes."""
+    """node and root for every node of the edges (a, b): alternating large-star and small-star steps until nothing changes.
+
+    The least neighbours are checkpointed before they are joined back, so that Spark can split a node of many edges.
+    """
     shared_dir(edges.sparkSession)
     stars = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct().checkpoint()
     state = None
@@ -179,9 +182,9 @@ def components(edges: DataFrame) -> DataFrame:
             break
         state = now
         both = stars.select(F.col("a").alias("u"), F.col("b").alias("v")).union(stars.select(F.col("b").alias("u"), F.col("a").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")).checkpoint()
+        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct().checkpoint()
+        low = large.groupBy("a").agg(F.min("b").alias("m")).checkpoint()
         small = large.join(low, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(low.select("a", F.col("m").alias("b"))).distinct()
         stars = small.checkpoint()
     return stars.select(F.col("a").alias("node"), F.col("b").alias("root")).union(stars.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
@@ -200,7 +203,8 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     """Each row's id (and extra columns), fingerprint, root and component_id."""
     own = written(fingerprints(docs, id_col=id_col, text_col=text_col, extra=extra), "fingerprints")
     prints = written(own.groupBy("fingerprint").agg(F.min(id_col).alias("low")), "distinct-fingerprints")
-    return own.join(classes(prints, radius), "fingerprint")
+    # both sides of the join are plain tables, so Spark can split a fingerprint that many rows share
+    return own.join(written(classes(prints, radius), "classes"), "fingerprint")
 
 
 def drop_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
