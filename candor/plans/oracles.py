@@ -164,11 +164,11 @@ def oracles() -> dict[str, str]:
         "friend_count": f" select user_id, {_FRIENDS} as friend_count from users",
         "text_features": f" select doc_id, {_content('text')} from documents",
         "caps_excl_ratio": " select conv_id, turn, len(regexp_extract_all(coalesce(text, ''), '!'))::bigint as exclamation_count, case when length(coalesce(text, '')) = 0 then 0e0 else round(len(regexp_extract_all(text, '[A-Z]'))::double / length(text), 6) end as caps_ratio from conversations",
-        "flesch": r""",
-w as (select doc_id, text, regexp_extract_all(text, '\b[a-zA-Z'']+\b') as ws from documents where length(text) = strlen(text)),
+        "flesch_ascii": r""",
+w as (select doc_id, text, regexp_extract_all(text, '\b[a-zA-Z'']+\b') as ws from documents),
 c as (select doc_id, len(ws)::double as n, greatest(1, len(regexp_extract_all(text, '[.!?]')))::double as ends,
   coalesce(list_sum(list_transform(ws, lambda x: greatest(1, len(regexp_extract_all(lower(x), '[aeiouy]+')) - case when len(regexp_extract_all(lower(x), '[aeiouy]+')) > 1 and lower(x) like '%e' then 1 else 0 end))), 0)::double as syl from w)
-select doc_id, case when n = 0 then 0e0 else round(206.835e0 - 1.015e0 * n / ends - 84.6e0 * syl / n, 6) end as flesch_reading_ease from c""",
+select doc_id, case when length(text) <> strlen(text) or text is null then null when n = 0 then 0e0 else round(206.835e0 - 1.015e0 * n / ends - 84.6e0 * syl / n, 6) end as flesch_reading_ease from c join documents using (doc_id)""",
         "account_age_elapsed": " select review_id, date_sub('day', yelping_since, date) as days_elapsed, date_diff('day', cast(yelping_since as date), cast(date as date)) as days_crossed from reviews join users using (user_id)",
         "dup_text_max_sim": r""",
 ws as (select doc_id, source, regexp_extract_all(lower(text), '[\p{L}\p{M}\p{N}\p{Pc}]{2,}') as w from documents),

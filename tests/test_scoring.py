@@ -95,3 +95,20 @@ def test_metrics(spark):
     own, flat = (df.agg(metrics.soft_log_loss(F.col("s"), c)).first()[0] for c in (F.col("s"), F.lit(0.5)))
     assert own < flat and math.isfinite(own)
     assert metrics.roc_auc(df.filter("y = 1"), "p", "y").first()[0] is None and metrics.average_precision(df.limit(0), "p", "y").first()[0] is None
+
+
+def test_reading_ease_of_all_texts(spark, sf):
+    import re
+
+    from candor.plans.queries import QUERIES
+
+    def syllables(w):
+        n = len(re.findall("[aeiouy]+", w.lower()))
+        return max(1, n - (n > 1 and w.lower().endswith("e")))
+
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    for r in QUERIES["flesch"](spark, sf).collect():
+        words = re.findall(r"\b[a-zA-Z']+\b", texts[r.doc_id])
+        ends = max(1, sum(texts[r.doc_id].count(c) for c in ".!?"))
+        want = 206.835 - 1.015 * len(words) / ends - 84.6 * sum(map(syllables, words)) / len(words) if words else 0.0
+        assert r.flesch_reading_ease == pytest.approx(want, abs=1e-5)
