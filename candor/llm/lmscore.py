@@ -37,9 +37,9 @@ from .common import doc_crc, written
 
 ORDER = 2
 #: Characters a block holds on average; a worker's memory is a few dozen bytes each.
-BLOCK_CHARS = 6_000_000
+BLOCK_CHARS = 4_000_000
 #: Characters whose n-grams a shard adds up, on average.
-SHARD_CHARS = 16_000_000
+SHARD_CHARS = 8_000_000
 #: One training document in so many lends its tokens to weight learning.
 DEV = 50
 BUCKETS = 24
