@@ -42,9 +42,9 @@ WIDTH = 6
 #: Ranks are counted in so many parts of each length, so a length that most pieces share is no single task.
 SALTS = 64
 #: Parts of texts whose ids a worker remembers.
-CACHED = 300_000
+CACHED = 700_000
 #: Characters that are tokenized at a time; a worker's memory is some ten times as many bytes.
-SLICE_CHARS = 1 << 20
+SLICE_CHARS = 1 << 21
 
 
 #: How the vocabulary splits lower-cased Latin-1 text into parts, each encoded by itself; fixed values.
