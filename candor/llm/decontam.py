@@ -32,8 +32,9 @@ def _words(text: Column) -> Column:
 
 
 def _folded(words: Column) -> Column:
-    # lower() is far faster than lowering A-Z alone, and words equal by the latter are equal by the former
-    return F.transform(words, lambda w: F.xxhash64(F.lower(w)))
+    # lower() is far faster than lowering A-Z alone, and words equal by the latter are equal by the former;
+    # 32 bits a word are enough before hits are verified
+    return F.transform(words, lambda w: F.hash(F.lower(w)))
 
 
 def _starts(n: Column, length: int) -> Column:
@@ -52,24 +53,28 @@ def benchmark_windows(items: DataFrame, *, window: int = WINDOW, id_col: str = "
     return each.select("item_id", "n", F.slice("words", F.col("p"), F.col("n")).alias("words"), F.xxhash64(F.slice("folded", F.col("p"), F.col("n"))).alias("hash"))
 
 
-def find_hits(docs: DataFrame, items: DataFrame, *, window: int = WINDOW, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
-    """By text hash (key) of the texts with hits: hits (array of p, n: first word from 1, words) and items (sorted item_ids)."""
-    occurrences = written(benchmark_windows(items, window=window, id_col=id_col, text_col=text_col), "windows")
+def _texts(docs: DataFrame, text_col: str) -> DataFrame:
+    """text, key and folded (a hash a word) of every document."""
+    text = F.col(text_col)
+    return computed(docs.select(text.alias("text")), key=text_key(text), folded=_folded(_words(text)))
+
+
+def find_hits(texts: DataFrame, items: DataFrame, *, window: int = WINDOW, id_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """By text hash (key) of the texts with hits: hits (array of p, n: first word from 1, words) and items (sorted item_ids). texts: text, key, folded."""
+    occurrences = written(benchmark_windows(items, window=window, id_col=id_col, text_col=item_text_col), "windows")
     lengths = sorted(r[0] for r in occurrences.select("n").distinct().collect())  # at most `window` numbers
     hashes = sized_broadcast(occurrences.select("hash").distinct(), 24)
-    texts = docs.select(F.col(text_col).alias("_text"))
     scans = []
     for length in lengths or [window]:
-        split = computed(texts, key=text_key(F.col("_text")), folded=_folded(_words(F.col("_text")))).drop("_text")
-        rolled = computed(split, rolled=F.transform(_starts(F.size("folded"), length), lambda p: F.xxhash64(F.slice("folded", p, length)))).drop("folded")
+        rolled = computed(texts.select("key", "folded"), rolled=F.transform(_starts(F.size("folded"), length), lambda p: F.xxhash64(F.slice("folded", p, length)))).drop("folded")
         scans.append(rolled.select("key", F.posexplode("rolled").alias("p", "hash")).join(hashes, "hash").select("key", (F.col("p") + 1).alias("p"), F.lit(length).alias("n"), "hash"))
     found = scans[0]
     for more in scans[1:]:
         found = found.union(more)
     found = written(found.groupBy("key").agg(F.collect_set(F.struct("p", "n", "hash")).alias("at")), "hits")  # at most a text's own windows
     # exact words of the hits; lower_ascii is applied to texts with hits only
-    with_text = texts.select(text_key(F.col("_text")).alias("key"), "_text").join(sized_broadcast(found, 60, F.size("at") * 32), "key")
-    split = computed(with_text, words=_words(lower_ascii(F.col("_text")))).drop("_text")
+    with_text = texts.select("key", "text").join(sized_broadcast(found, 60, F.size("at") * 32), "key")
+    split = computed(with_text, words=_words(lower_ascii(F.col("text")))).drop("text")
     spans = split.select("key", "words", F.explode("at").alias("at")).select("key", F.slice("words", F.col("at.p"), F.col("at.n")).alias("words"), "at")
     distinct = occurrences.groupBy("hash", "words").agg(F.min("n").alias("_n"))
     verified = spans.join(sized_broadcast(distinct, 60, _bytes("words")), [spans["at"]["hash"] == distinct["hash"], spans["words"] == distinct["words"]], "left_semi")
@@ -88,9 +93,13 @@ def _covered(hits: Column) -> Column:
 
 def scan(docs: DataFrame, items: DataFrame, *, window: int = WINDOW, text_col: str = "text") -> DataFrame:
     """The documents with n_words, n_hit, n_items, items (array), contaminated, and hit_spans (array of p, n)."""
-    key, fkey, spans, names = (fresh(docs.columns, f"_found_{x}") for x in ("text", "key", "spans", "items"))
-    hits = written(find_hits(docs, items, window=window, text_col=text_col).toDF(fkey, spans, names), "contaminated")
-    out = computed(docs, **{"n_words": F.size(_words(F.col(text_col))).cast("long"), key: text_key(F.col(text_col))})
+    key, folded, fkey, spans, names = (fresh(docs.columns, f"_found_{x}") for x in ("text", "folded", "key", "spans", "items"))
+    # words are split once: the table serves the scan, the verification and the result, which each read their columns
+    out = computed(docs, **{key: text_key(F.col(text_col)), folded: _folded(_words(F.col(text_col)))}).withColumn("n_words", F.size(folded).cast("long"))
+    out = written(out, "split-documents")
+    texts = out.select(F.col(text_col).alias("text"), F.col(key).alias("key"), F.col(folded).alias("folded"))
+    hits = written(find_hits(texts, items, window=window).toDF(fkey, spans, names), "contaminated")
+    out = out.drop(folded)
     out = out.join(sized_broadcast(hits, 80, F.size(spans) * 24 + _bytes(names)), out[key] == hits[fkey], "left").drop(key, fkey)
     none = F.array().cast(hits.schema[spans].dataType)
     out = computed(out, hit_spans=F.coalesce(spans, none), items=F.coalesce(names, F.array().cast("array<string>")), n_hit=F.coalesce(_covered(F.col(spans)), F.lit(0)).cast("long")).drop(spans, names)
@@ -100,7 +109,7 @@ def scan(docs: DataFrame, items: DataFrame, *, window: int = WINDOW, text_col: s
 def drop_contaminated(docs: DataFrame, items: DataFrame, *, window: int = WINDOW, text_col: str = "text") -> DataFrame:
     """The documents without a hit."""
     fkey = fresh(docs.columns, "_found_key")
-    hits = written(find_hits(docs, items, window=window, text_col=text_col).select(F.col("key").alias(fkey)), "contaminated")
+    hits = written(find_hits(_texts(docs, text_col), items, window=window).select(F.col("key").alias(fkey)), "contaminated")
     return docs.join(sized_broadcast(hits, 40), text_key(docs[text_col]) == hits[fkey], "left_anti")
 
 
