@@ -33,6 +33,8 @@ RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "exa
 SUPPORT = 0.002
 CONFIDENCE = 0.6
 MAX_TOKENS = 3
+#: Tokens of one URL that rules are mined from; all tokens count when rules are matched.
+MAX_BASKET = 12
 BAD = "=bad"
 
 
@@ -71,11 +73,12 @@ def mine(pages: DataFrame, labels: DataFrame, *, id_col: str = "page_id", url_co
     bad = ((F.coalesce("quality", F.lit(1)) == 0) | (F.coalesce("toxic", F.lit(0)) == 1)).cast("int")
     known = labels.filter(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.max(bad).alias("_bad"))
     marked = pages.select(F.col(id_col).alias("_id"), F.col(url_col).alias("_url")).join(sized_broadcast(known, 24), "_id")
-    baskets = marked.select(F.concat(tokens(F.col("_url")), F.when(F.col("_bad") == 1, F.array(F.lit(BAD))).otherwise(F.array().cast("array<string>"))).alias("items"))
-    baskets = written(baskets.filter(F.size("items") > 0), "url-baskets")
+    baskets = marked.select(F.monotonically_increasing_id().alias("row"), tokens(F.col("_url")).alias("tokens"), "_bad").filter((F.size("tokens") > 0) | (F.col("_bad") == 1))
+    baskets = written(baskets, "url-baskets")
     schema = "rule array<string>, confidence double, support double"
     if baskets.isEmpty():
         return pages.sparkSession.createDataFrame([], schema)
+    baskets = written(_frequent(baskets, support), "url-baskets")
     found = FPGrowth(itemsCol="items", minSupport=support, minConfidence=confidence).fit(baskets).associationRules
     good = found.filter((F.element_at("consequent", 1) == BAD) & (F.size("antecedent") <= max_tokens))
     good = written(good.select(F.array_sort("antecedent").alias("rule"), "confidence", "support"), "url-rules")
@@ -86,6 +89,21 @@ def mine(pages: DataFrame, labels: DataFrame, *, id_col: str = "page_id", url_co
     return written(good.join(covered, "rule", "left_anti"), "url-rules")
 
 
+def _frequent(baskets: DataFrame, support: float) -> DataFrame:
+    """items: each basket's label and its tokens that are frequent, of which those that tell most where there are many.
+
+    Frequent sets double with every token that copies of one URL share, so a basket takes MAX_BASKET of them to the
+    miner: those whose share of bad URLs lies furthest from the average, in standard errors.
+    """
+    n, bad = baskets.agg(F.count(F.lit(1)), F.sum("_bad")).first()
+    told = baskets.select("row", "_bad", F.explode("tokens").alias("token"))
+    stats = told.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.sum("_bad").alias("bad")).filter(F.col("n") >= support * n)
+    stats = stats.select("token", F.round(-F.abs(F.col("bad") - F.col("n") * (bad / n)) / F.sqrt("n"), 9).alias("rank"))
+    best = told.join(sized_broadcast(stats, 100, F.octet_length("token")), "token").groupBy("row").agg(F.slice(F.array_sort(F.collect_list(F.struct("rank", "token"))), 1, MAX_BASKET).alias("best"))
+    label = F.when(F.col("_bad") == 1, F.array(F.lit(BAD))).otherwise(F.array().cast("array<string>"))
+    return baskets.join(best, "row", "left").select(F.concat(F.coalesce(F.col("best.token"), F.array().cast("array<string>")), label).alias("items"))
+
+
 def _parts(rule: Column, most: int) -> Column:
     """Proper non-empty parts of the rule, in order."""
     bits = F.sequence(F.lit(1), F.lit((1 << most) - 2)) if most > 1 else F.array().cast("array<int>")

@@ -74,3 +74,11 @@ def test_query(spark, sf):
         assert (r.host, r.path) == split(pages[r.page_id])
         rule, verdict = explicit(r.host, r.path)
         assert r.rule == rule and r.verdict == (verdict or ("allow" if r.confidence is None else "block"))
+
+
+def test_copies_of_a_long_url_do_not_blow_up(spark):
+    long = "http://a.b.c/" + "/".join(f"x{i}" for i in range(60))
+    pages = spark.createDataFrame([(i, long if i % 3 == 0 else f"http://ok.b.c/{i}") for i in range(300)], "page_id long, url string")
+    labels = spark.createDataFrame([(i, int(i % 3 > 0), 0) for i in range(300)], "page_id long, quality int, toxic int")
+    out = urlfilter.judge(pages, labels).collect()
+    assert {(r.page_id % 3 == 0, r.verdict) for r in out} == {(True, "block"), (False, "allow")}
