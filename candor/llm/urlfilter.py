@@ -2,8 +2,9 @@
 
 Explicit rules come first: a rule fits its host and all subdomains of it where the URL's path starts with the rule's,
 and the longest fitting rule decides. All other URLs are judged by learned rules. Labelled URLs become transactions of
-their tokens (labels of the host, path segments, query names) and their label; FP-growth finds frequent
-token sets, and those whose confidence and support towards the bad label suffice become blocking rules. A rule that
+their tokens (labels of the host, path segments, query names) and their label. Tokens of exactly the same URLs are mined
+as one item. FP-growth finds the token sets that are frequent among bad URLs; each is recounted on the whole transactions,
+and those whose confidence and support towards the bad label suffice become blocking rules. A rule that
 contains another of no less confidence is dropped. Rules are posted under their rarest token; a URL looks up its own
 tokens there and checks the rest of each rule found.
 
@@ -20,6 +21,7 @@ Defined cases
 from __future__ import annotations
 
 from functools import reduce
+from itertools import count
 
 from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
@@ -33,9 +35,8 @@ RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "exa
 SUPPORT = 0.002
 CONFIDENCE = 0.6
 MAX_TOKENS = 3
-#: Tokens of one URL that rules are mined from; all tokens count when rules are matched.
-MAX_BASKET = 12
-BAD = "=bad"
+#: Items that the miner is given at a time; a URL with more is given in overlapping parts.
+BASKET = 12
 
 
 def host_of(url: Column) -> Column:
@@ -75,33 +76,78 @@ def mine(pages: DataFrame, labels: DataFrame, *, id_col: str = "page_id", url_co
     marked = pages.select(F.col(id_col).alias("_id"), F.col(url_col).alias("_url")).join(sized_broadcast(known, 24), "_id")
     baskets = marked.select(F.monotonically_increasing_id().alias("row"), tokens(F.col("_url")).alias("tokens"), "_bad").filter((F.size("tokens") > 0) | (F.col("_bad") == 1))
     baskets = written(baskets, "url-baskets")
-    schema = "rule array<string>, confidence double, support double"
-    if baskets.isEmpty():
-        return pages.sparkSession.createDataFrame([], schema)
-    baskets = written(_frequent(baskets, support), "url-baskets")
-    found = FPGrowth(itemsCol="items", minSupport=support, minConfidence=confidence).fit(baskets).associationRules
-    good = found.filter((F.element_at("consequent", 1) == BAD) & (F.size("antecedent") <= max_tokens))
-    good = written(good.select(F.array_sort("antecedent").alias("rule"), "confidence", "support"), "url-rules")
+    rows, bads = baskets.agg(F.count(F.lit(1)), F.coalesce(F.sum("_bad"), F.lit(0))).first()
+    least = next(k for k in count(max(1, int(support * rows) - 1)) if k >= support * rows or k / rows >= support)
+    if bads < least:
+        return pages.sparkSession.createDataFrame([], "rule array<string>, confidence double, support double")
+    told = baskets.select("row", "_bad", F.explode("tokens").alias("token"))
+    classes = written(_classes(told, least), "url-classes")
+    mixed = classes.filter("n > bad").select(F.col("item").alias("token"))
+    own = told.join(sized_broadcast(mixed, 40, F.octet_length("token")), "token").groupBy("row", "_bad").agg(F.array_sort(F.collect_list("token")).alias("items"))
+    own = written(own.select("_bad", "items"), "url-items")
+    folded = written(own.groupBy("items").agg(F.count(F.lit(1)).alias("n"), F.sum("_bad").alias("bad")), "url-folded")
+    # an item of bad URLs alone is a rule that every larger one would be dropped for
+    found = _recounted(_candidates(own, least, max_tokens), folded).unionByName(classes.filter("n = bad").select(F.array("item").alias("rule"), "n", "bad"))
+    good = found.select("rule", (F.col("bad") / F.col("n")).alias("confidence"), (F.col("bad") / F.lit(rows)).alias("support"), "bad")
+    good = written(good.filter((F.col("bad") >= least) & (F.col("confidence") >= confidence)).drop("bad"), "url-rules")
     shorter = good.select(F.col("rule").alias("_part"), F.col("confidence").alias("_least"))
     # a rule has at most 2^max_tokens - 2 proper parts, which are looked up by equality
     parts = good.select("rule", "confidence", F.explode(_parts(F.col("rule"), max_tokens)).alias("_part"))
     covered = parts.join(shorter, "_part").filter("_least >= confidence").select("rule").distinct()
-    return written(good.join(covered, "rule", "left_anti"), "url-rules")
+    return written(_spelled(good.join(covered, "rule", "left_anti"), classes, max_tokens), "url-rules")
+
+
+def _classes(told: DataFrame, least: int) -> DataFrame:
+    """Tokens of at least `least` bad URLs, those of exactly the same URLs as one item: item (the first), members, n, bad."""
+    same = [F.bit_xor(F.xxhash64("row", F.lit(k))) for k in (1, 2)]  # 128 bits that stand for the set of URLs
+    stats = told.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.sum("_bad").alias("bad"), same[0].alias("x"), same[1].alias("y")).filter(F.col("bad") >= least)
+    return stats.groupBy("n", "bad", "x", "y").agg(F.min("token").alias("item"), F.collect_list("token").alias("members")).select("item", "members", "n", "bad")
 
 
-def _frequent(baskets: DataFrame, support: float) -> DataFrame:
-    """items: each basket's label and its tokens that are frequent, of which those that tell most where there are many.
+def _candidates(own: DataFrame, least: int, max_tokens: int) -> DataFrame:
+    """rule: every set of at most max_tokens items that at least `least` bad URLs hold, and maybe more sets.
 
-    Frequent sets double with every token that copies of one URL share, so a basket takes MAX_BASKET of them to the
-    miner: those whose share of bad URLs lies furthest from the average, in standard errors.
+    Frequent sets double with every item that URLs share. So a basket over BASKET items goes to the miner as the unions
+    of max_tokens of its slices: each small set is in one of them, and in several at most counts too often.
     """
-    n, bad = baskets.agg(F.count(F.lit(1)), F.sum("_bad")).first()
-    told = baskets.select("row", "_bad", F.explode("tokens").alias("token"))
-    stats = told.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.sum("_bad").alias("bad")).filter(F.col("n") >= support * n)
-    stats = stats.select("token", F.round(-F.abs(F.col("bad") - F.col("n") * (bad / n)) / F.sqrt("n"), 9).alias("rank"))
-    best = told.join(sized_broadcast(stats, 100, F.octet_length("token")), "token").groupBy("row").agg(F.slice(F.array_sort(F.collect_list(F.struct("rank", "token"))), 1, MAX_BASKET).alias("best"))
-    label = F.when(F.col("_bad") == 1, F.array(F.lit(BAD))).otherwise(F.array().cast("array<string>"))
-    return baskets.join(best, "row", "left").select(F.concat(F.coalesce(F.col("best.token"), F.array().cast("array<string>")), label).alias("items"))
+    width = max(1, BASKET // max_tokens)
+    bad = own.filter("_bad = 1")
+    wide = bad.filter(F.size("items") > width * max_tokens).select("items", F.array().cast("array<string>").alias("union"), F.lit(0).alias("at"))
+    for left in range(max_tokens - 1, -1, -1):
+        last = F.ceil(F.size("items") / width).cast("int") - left
+        wide = wide.select("items", "union", F.explode(F.sequence(F.col("at") + 1, last)).alias("at")).filter(F.col("at") <= last)
+        wide = wide.select("items", F.concat("union", F.slice("items", (F.col("at") - 1) * width + 1, width)).alias("union"), "at")
+    baskets = written(bad.filter(F.size("items") <= width * max_tokens).select("items").union(wide.select("union")), "url-unions")
+    n = baskets.count()
+    if n < least:
+        return own.sparkSession.createDataFrame([], "rule array<string>")
+    sets = FPGrowth(itemsCol="items", minSupport=(least - 0.5) / n).fit(baskets).freqItemsets
+    return sets.filter(F.size("items") <= max_tokens).select(F.array_sort("items").alias("rule"))
+
+
+def _recounted(rules: DataFrame, folded: DataFrame) -> DataFrame:
+    """rule, with the number of URLs that hold all its items and of the bad ones among them."""
+    posted = _posted(written(rules, "url-candidates"))
+    looked = folded.select("items", "n", "bad", F.explode("items").alias("token"))
+    hits = looked.join(sized_broadcast(posted, 300), "token").filter(F.size(F.array_except("rule", "items")) == 0)
+    return hits.groupBy("rule").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
+
+
+def _spelled(rules: DataFrame, classes: DataFrame, max_tokens: int) -> DataFrame:
+    """The rules with each item in turn replaced by each of its members."""
+    members = classes.select(F.col("item").alias("_item"), F.explode("members").alias("_token"))
+    members = sized_broadcast(members, 80, F.octet_length("_item") + F.octet_length("_token"))
+    out = rules.withColumn("_own", F.array().cast("array<string>"))
+    for k in range(max_tokens):
+        out = out.join(members, F.get("rule", F.lit(k)) == F.col("_item"), "left").withColumn("_own", F.concat("_own", F.array_compact(F.array("_token")))).drop("_item", "_token")
+    return out.select(F.array_sort("_own").alias("rule"), "confidence", "support")
+
+
+def _posted(rules: DataFrame) -> DataFrame:
+    """The rules with token, that of theirs which the fewest rules hold, so common tokens post little."""
+    counts = rules.select(F.explode("rule").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+    found = rules.select(*rules.columns, F.explode("rule").alias("token")).join(counts, "token").groupBy(*rules.columns).agg(F.min_by("token", F.struct("n", "token")).alias("token"))
+    return written(found, "url-index")
 
 
 def _parts(rule: Column, most: int) -> Column:
@@ -113,10 +159,7 @@ def _parts(rule: Column, most: int) -> Column:
 
 def match(urls: DataFrame, rules: DataFrame, key: str, token_col: str) -> DataFrame:
     """key and the highest confidence of the rules whose tokens a URL holds. urls: key, token_col."""
-    counts = rules.select(F.explode("rule").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n"))
-    # posted under the token that the fewest rules hold, so common tokens post little
-    posted = rules.select("rule", "confidence", F.explode("rule").alias("token")).join(counts, "token").groupBy("rule", "confidence").agg(F.min_by("token", F.struct("n", "token")).alias("token"))
-    posted = written(posted, "url-index")
+    posted = _posted(rules.select("rule", "confidence"))
     looked = urls.select(key, token_col, F.explode(token_col).alias("token"))
     hits = looked.join(sized_broadcast(posted, 300), "token").filter(F.size(F.array_except("rule", token_col)) == 0)
     return hits.groupBy(key).agg(F.max("confidence").alias("confidence"))

@@ -82,3 +82,44 @@ def test_copies_of_a_long_url_do_not_blow_up(spark):
     labels = spark.createDataFrame([(i, int(i % 3 > 0), 0) for i in range(300)], "page_id long, quality int, toxic int")
     out = urlfilter.judge(pages, labels).collect()
     assert {(r.page_id % 3 == 0, r.verdict) for r in out} == {(True, "block"), (False, "allow")}
+
+
+def mined(spark, rows, support, confidence):
+    """Rules that are mined from (url, bad) rows, and those of counting every set of up to three tokens."""
+    from itertools import combinations
+
+    pages = spark.createDataFrame([(i, u) for i, (u, _) in enumerate(rows)], "page_id long, url string")
+    labels = spark.createDataFrame([(i, 1 - b, 0) for i, (_, b) in enumerate(rows)], "page_id long, quality int, toxic int")
+    got = {tuple(r.rule): (r.confidence, r.support) for r in urlfilter.mine(pages, labels, support=support, confidence=confidence).collect()}
+    seen = {}
+    for u, b in rows:
+        for rule in {c for k in (1, 2, 3) for c in combinations(sorted(tokens(u)), k)}:
+            n, bad = seen.get(rule, (0, 0))
+            seen[rule] = (n + 1, bad + b)
+    rules = {r: (bad / n, bad / len(rows)) for r, (n, bad) in seen.items() if bad and bad / len(rows) >= support and bad / n >= confidence}
+    return got, {r: v for r, v in rules.items() if not any(rules.get(s, (0,))[0] >= v[0] for k in range(1, len(r)) for s in combinations(r, k))}
+
+
+def test_long_good_urls_count_against_a_rule(spark):
+    rows = [("http://www.shop.com/x", 1)] * 100 + [("http://www.shop.com/" + "/".join(f"g{k}" for k in range(14)) + f"/{i % 2}", 0) for i in range(200)]
+    got, want = mined(spark, rows, 0.002, 0.6)
+    assert got == want == {("p:x",): (1.0, pytest.approx(1 / 3))}
+    pages = spark.createDataFrame([(i, u) for i, (u, _) in enumerate(rows)], "page_id long, url string")
+    labels = spark.createDataFrame([(i, 1 - b, 0) for i, (_, b) in enumerate(rows)], "page_id long, quality int, toxic int")
+    assert all((r.verdict == "block") == bool(rows[r.page_id][1]) for r in urlfilter.judge(pages, labels).collect())
+
+
+def test_rules_of_long_urls_match_brute_force(spark):
+    import random
+
+    rng = random.Random(5)
+    rows = []
+    for _ in range(60):  # near copies with mixed labels: no token tells by itself, and no two stand in the same URLs
+        own = [f"t{k}" for k in range(28) if rng.random() < 0.7]
+        rows.append(("http://a.b/" + "/".join(own), int(("t1" in own and "t2" in own) != (rng.random() < 0.2))))
+    twins = "/".join(f"w{k}" for k in range(20))
+    rows += [(f"http://c.d/{twins}?u&v", 1)] * 6 + [(f"http://c.d/{twins}?z", 0)] * 5 + [("http://c.d/?u&v", 0)] * 5
+    got, want = mined(spark, rows, 0.05, 0.7)
+    assert got.keys() == want.keys() and max(map(len, want)) == 3
+    assert all(got[r] == pytest.approx(want[r]) for r in want)
+    assert ("p:w0", "q:u") in want and ("p:w19", "q:v") in want
