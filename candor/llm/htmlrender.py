@@ -7,7 +7,8 @@ padded to the width of their column.
 
 Defined cases
 * null or empty html: an empty text. Text without tags: that text, white space collapsed as in a browser.
-* broken markup: open elements end with the document, stray end tags are ignored.
+* broken markup: open elements end with the document, stray end tags are ignored. What stands in a table but in no
+  cell or caption is laid out before the table, a form there is empty, and text ends an open head.
 * elements deeper than MAX_DEPTH stay in the element at that depth; their text is kept.
 * repeated rows: each is returned. Empty table: no rows. Only the id is carried over, so other columns cannot clash.
 """
@@ -32,6 +33,13 @@ BLOCK = {"address", "article", "aside", "blockquote", "body", "center", "dd", "d
 MARGIN = {"blockquote", "dl", "figure", "h1", "h2", "h3", "h4", "h5", "h6", "menu", "ol", "p", "pre", "table", "ul", "hr"}
 ENDS_P = BLOCK - {"body", "html", "option", "optgroup", "legend"}
 TABLE_PARTS = {"caption", "colgroup", "thead", "tbody", "tfoot", "tr", "td", "th"}
+#: Elements whose own content is table parts; of other content, only IN_PLACE stays in them.
+TABLE_LEVELS = {"table", "thead", "tbody", "tfoot", "tr"}
+IN_PLACE = TABLE_PARTS | {"col", "script", "style", "template"}
+#: Elements that begin content of another kind inside a table.
+APART = {"template", "noscript", "noframes", "iframe", "svg", "math"}
+NO_TABLE_LEVEL = {"td", "th", "caption"} | APART
+_WHOLE_TABLE = (TABLE_PARTS, {"table"} | APART)
 #: What a start tag ends, and the elements beyond which it does not look.
 IMPLIED = {
     "li": ({"li"}, {"ul", "ol", "menu", "dir"}),
@@ -39,12 +47,14 @@ IMPLIED = {
     "dd": ({"dt", "dd"}, {"dl"}),
     "option": ({"option"}, {"select", "datalist", "optgroup"}),
     "optgroup": ({"option", "optgroup"}, {"select"}),
-    "tr": ({"tr", "td", "th", "caption", "colgroup"}, {"table"}),
-    "td": ({"td", "th"}, {"table", "tr"}),
-    "th": ({"td", "th"}, {"table", "tr"}),
-    "thead": ({"caption", "colgroup", "thead", "tbody", "tfoot", "tr", "td", "th"}, {"table"}),
-    "tbody": ({"caption", "colgroup", "thead", "tbody", "tfoot", "tr", "td", "th"}, {"table"}),
-    "tfoot": ({"caption", "colgroup", "thead", "tbody", "tfoot", "tr", "td", "th"}, {"table"}),
+    "tr": ({"tr", "td", "th", "caption", "colgroup"}, {"table"} | APART),
+    "td": ({"td", "th"}, {"table", "tr"} | APART),
+    "th": ({"td", "th"}, {"table", "tr"} | APART),
+    "thead": _WHOLE_TABLE,
+    "tbody": _WHOLE_TABLE,
+    "tfoot": _WHOLE_TABLE,
+    "caption": _WHOLE_TABLE,
+    "colgroup": _WHOLE_TABLE,
 }
 _HIDING = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))", re.I)
 _SPACE = re.compile(r"[ \t\n\r\f]+")
@@ -55,6 +65,7 @@ class Element:
     tag: str
     attributes: dict[str, str | None] = field(default_factory=dict)
     children: list[Element | str] = field(default_factory=list)
+    home: Element | None = field(default=None, repr=False, compare=False)  # of a table: the element it stands in
 
     @property
     def visible(self) -> bool:
@@ -83,9 +94,36 @@ class TreeBuilder(HTMLParser):
         if cut is not None:
             del self._open[cut:]
 
+    def _level(self, levels: set[str]) -> int | None:
+        """The place of the innermost of those levels of the table that is being read outside its cells and caption."""
+        for i in range(len(self._open) - 1, 0, -1):
+            if self._open[i].tag in levels:
+                return i
+            if self._open[i].tag in NO_TABLE_LEVEL:
+                return None
+        return None
+
+    def _add(self, new: Element | str, in_place: bool) -> None:
+        """Adds to the open element, or before the table if that is a table level and the content has no place there."""
+        here = self._open[-1]
+        if not in_place and here.tag in TABLE_LEVELS and (table := self._level({"table"})) is not None:
+            self._open[table].home.children.insert(-1, new)  # an open table is the last child
+        else:
+            here.children.append(new)
+
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
-        if tag in ("html", "body") and any(x.tag == tag for x in self._open):
+        if tag in ("html", "head", "body") and any(x.tag == tag for x in self._open):
             return
+        if self._open[-1].tag == "colgroup" and tag not in ("col", "template"):
+            self._open.pop()
+        if tag in ("table", "form"):
+            table = self._level({"table"})
+            if table is not None and tag == "form":
+                return  # it is closed at once and stays empty
+            if table is not None:
+                del self._open[table:]
+        elif tag in TABLE_PARTS and (level := self._level(TABLE_LEVELS)) is not None:
+            del self._open[level + 1 :]
         if tag in ENDS_P:
             self._end({"p"}, {"table", "td", "th", "caption", "button", "object"})
         if tag == "body" or (tag not in INVISIBLE | {"meta", "link", "base", "html", "#document"} and self._open[-1].tag == "head"):
@@ -96,12 +134,14 @@ class TreeBuilder(HTMLParser):
             self._push(Element("tr"))
         new = Element(tag, dict(attrs))
         if tag in VOID:
-            self._open[-1].children.append(new)
+            self._add(new, tag in IN_PLACE)
         else:
             self._push(new)
 
     def _push(self, new: Element) -> None:
-        self._open[-1].children.append(new)
+        if new.tag == "table":
+            new.home = self._open[-1]
+        self._add(new, new.tag in IN_PLACE)
         if len(self._open) < MAX_DEPTH:
             self._open.append(new)
 
@@ -112,9 +152,9 @@ class TreeBuilder(HTMLParser):
         if tag in ("html", "body"):
             return
         if tag == "br":
-            self._open[-1].children.append(Element("br"))
+            self._add(Element("br"), False)
             return
-        stop = set() if tag in TABLE_PARTS | {"table"} else {"td", "th", "caption"}
+        stop = set() if tag in TABLE_PARTS | APART | {"table"} else {"td", "th", "caption", "table"}
         for i in range(len(self._open) - 1, 0, -1):
             if self._open[i].tag == tag:
                 del self._open[i:]
@@ -123,7 +163,10 @@ class TreeBuilder(HTMLParser):
                 return
 
     def handle_data(self, data: str) -> None:
-        self._open[-1].children.append(data)
+        blank = not data.strip(" \t\n\r\f")
+        if not blank and self._open[-1].tag in ("head", "colgroup"):
+            self._open.pop()
+        self._add(data, blank)
 
 
 def parse(html: str) -> Element:

@@ -25,6 +25,24 @@ def test_tables():
     assert render("<table><td>only") == "only"
 
 
+def test_misplaced_in_a_table():
+    assert render("<table><tr><form><td>Name</td><td>x</td></form></tr></table>") == "Name  x"
+    assert render("<form><table><form><tr><td>a</form><td>b</table>c</form>d") == "a  b\n\nc\nd"
+    assert render("a<table><tr>stray<td>x</td>more<td>y</table>z") == "astraymore\n\nx  y\n\nz"
+    assert render("<table><tr><td>x</td><div>d<b>e</b><td>y</tr>s<p>p<tr><td>z</table>") == "de\ns\n\np\n\nx  y\nz"
+    assert render("<table><tbody>t<tr><script>s</script><td>x<tr hidden>u<td>y</table>") == "tu\n\nx"
+    assert render("<table><colgroup>g<col><tr><td>x<caption>C</table>") == "g\n\nC\nx"
+    assert render("<div><table><tr></div><td>x<table><tr>in<td>y</table></table>z</div>") == "xin y\n\nz"
+    assert render("<table><tr><td>x<table><td>y</table><td>z<tr><table><td>v</table>w") == "x y  z\n\nv\n\nw"
+    assert render("<table><tr><template><tr>s<td>t</template><td>x<td><template><tr>u</template>y</table>") == "x  y"
+
+
+def test_text_ends_an_open_head():
+    assert render("<head><title>T</title>Hello <b>x</b>") == "Hello x"
+    assert render("<html><head> <title>T</title> \n<style>s</style>Hello<p>x") == "Hello\n\nx"
+    assert render("<head><script>s</script>\n</head>Hello") == "Hello"
+
+
 def test_visibility():
     hidden = "<head><title>t</title><style>s</style></head><script>var a='</p>'</script><template>x</template><noscript>n</noscript><div hidden>h</div><p style='color:red; display : none'>d</p><span style='visibility:hidden'>v</span><!-- c --><dialog>g</dialog>"
     assert render(hidden + "<details><summary>sum</summary>more</details><details open><summary>s2</summary>seen</details>") == "sum\ns2\nseen"
