@@ -5,10 +5,12 @@ sequence is filled depends on lengths alone, and there are at most `capacity` di
 over the histogram of lengths: it is as small for 100 TB as for one file. Its result is a list of fillings with how
 often each is used; every piece then finds its place from its rank among the pieces of its length.
 
-The search takes the largest length left, enumerates the fillings around it that no other dominates, fullest first,
-and uses the chosen one as often as the counts allow. A branch ends where its sequences plus the least that the rest
-can take reach the incumbent. The first incumbent is the best-fit-decreasing solution; the search ends when the lower
-bound is met or after NODES decisions, so the result is never worse than best fit.
+The search takes the largest length left and a filling around it. A first pass tries a few fillings that no other
+dominates, fullest first, each as often as the counts allow; a second pass tries all fillings to which no piece can be
+added, each as often as the counts allow, once less, and half as often; a third does so too but leaves at least half of
+the decisions for the other choices of each step, so that the first steps are varied as well. A branch ends where its sequences plus the least
+that the rest can take reach the incumbent. The first incumbent is the best-fit-decreasing solution; a pass ends when the
+lower bound is met or after NODES decisions, so the result is never worse than best fit.
 
 Defined cases
 * null or empty text: the end token alone, one piece of length 1.
@@ -37,8 +39,10 @@ from .common import written
 CAPACITY = 2048
 #: Decisions of the search after which the incumbent stands.
 NODES = 4000
-#: Fillings tried around a largest length.
+#: Fillings tried around a largest length in the first pass.
 WIDTH = 6
+#: Steps of enumerating fillings in the second pass, a decision.
+STEPS = 250
 #: Ranks are counted in so many parts of each length, so a length that most pieces share is no single task.
 SALTS = 64
 #: Parts of texts whose ids a worker remembers.
@@ -248,27 +252,61 @@ def fillings(counts: np.ndarray, first: int, capacity: int) -> list[tuple[int, .
     return [(first, *sorted(f, reverse=True)) for f in kept]
 
 
+def every_filling(counts: np.ndarray, first: int, capacity: int, steps: Iterator[int]) -> Iterator[tuple[int, ...]]:
+    """All ways to fill up around a largest length to which no piece can be added, while there are steps."""
+    room = capacity - first
+    lens = [int(x) for x in np.nonzero(counts[: room + 1])[0][::-1] if x]
+    have = {x: int(counts[x]) - (x == first) for x in lens}
+    rest = [*accumulate((x * have[x] for x in reversed(lens)), initial=0)][::-1]
+
+    def go(i: int, r: int, got: tuple[int, ...], spare: int) -> Iterator[tuple[int, ...]]:
+        """spare: the least length passed by of which a piece is left."""
+        for j in range(i, len(lens)):
+            x = lens[j]
+            if r - rest[j] >= spare or next(steps, None) is None:
+                return
+            if x > r or not have[x]:
+                continue
+            for k in range(min(r // x, have[x]), 0, -1):
+                yield from go(j + 1, r - k * x, got + (x,) * k, x if k < have[x] else spare)
+            spare = x
+        if r < spare:
+            yield got
+
+    return go(0, room, (first,), capacity + 1)
+
+
+def _choices(counts: np.ndarray, first: int, capacity: int, steps: Iterator[int] | None) -> Iterator[tuple[tuple[int, ...], int]]:
+    """Fillings around the largest length with how often to use them; with steps all of them, and also fewer times than counts allow."""
+    few = fillings(counts, first, capacity)
+    exact = len(few[0]) <= 2 and sum(few[0]) == capacity  # as good as any other, as often as it can be had
+    for f in few if exact or not steps else chain(few, (f for f in every_filling(counts, first, capacity, steps) if f not in few)):
+        most = min(int(counts[x]) // k for x, k in Counter(f).items())
+        for times in [most] if exact or not steps else sorted({most, most - 1, most // 2} - {0}, reverse=True):
+            yield f, times
+
+
 def plan_sequences(counts: dict[int, int], capacity: int = CAPACITY, nodes: int = NODES) -> Plan:
-    """Branch and bound over the histogram."""
+    """Branch and bound over the histogram: first over few fillings, then over all, then over all with the decisions shared out."""
     left = np.zeros(capacity + 1, np.int64)
     for length, n in counts.items():
         left[length] = n
     done = [((capacity,), int(left[capacity]))] if left[capacity] else []
     left[capacity] = 0
     best = best_fit({int(k): int(left[k]) for k in np.nonzero(left)[0]}, capacity)
-    best_n, least, total = sum(n for _, n in best), least_sequences(left, capacity), int((left * np.arange(capacity + 1)).sum())
-    path: list[tuple[tuple[int, ...], int]] = []
-    stack: list[list[tuple[int, ...]]] = []
-    used = seen = 0
+    least = least_sequences(left, capacity)
+    for every, shared in ((False, False), (True, False), (True, True)):
+        best = _search(left.copy(), capacity, best, least, nodes, iter(range(STEPS * nodes)) if every else None, shared)
+    return Plan(done + best, capacity)
 
-    def undo() -> None:
-        nonlocal used, total
-        filling, times = path.pop()
-        for x, k in Counter(filling).items():
-            left[x] += k * times
-        used -= times
-        total += times * sum(filling)
 
+def _search(left: np.ndarray, capacity: int, best: list[tuple[tuple[int, ...], int]], least: int, nodes: int, steps: Iterator[int] | None, shared: bool) -> list[tuple[tuple[int, ...], int]]:
+    """The incumbent, or what at most `nodes` decisions find that is better; if shared, no decision has more than half of those left for what follows it."""
+    best_n, total = sum(n for _, n in best), int((left * np.arange(capacity + 1)).sum())
+    path: list[tuple[tuple[int, ...], int]] = []
+    stack: list[Iterator[tuple[tuple[int, ...], int]]] = []
+    ends: list[int] = []
+    used = seen = 0
     down = True
     while best_n > least and seen < nodes:
         if down:
@@ -277,29 +315,30 @@ def plan_sequences(counts: dict[int, int], capacity: int = CAPACITY, nodes: int
                     best_n, best = used, list(path)
                 down = False
                 continue
-            stack.append([] if used + -(-total // capacity) >= best_n else fillings(left, int(np.nonzero(left)[0][-1]), capacity)[::-1])
+            stack.append(iter(()) if used + -(-total // capacity) >= best_n else _choices(left, int(np.nonzero(left)[0][-1]), capacity, steps))
+            ends.append((seen + ends[-1] + 1) // 2 if shared and ends else nodes)
         if not stack:
             break
-        if not stack[-1]:
+        if not down and len(path) == len(stack):
+            filling, times = path.pop()
+            for x, k in Counter(filling).items():
+                left[x] += k * times
+            used -= times
+            total += times * sum(filling)
+        filling, times = next(stack[-1], ((), 0)) if seen < ends[-1] else ((), 0)
+        if not times:
             stack.pop()
-            if not path:
-                break
-            undo()
+            ends.pop()
             down = False
             continue
-        if not down and len(path) == len(stack):
-            undo()
-        filling = stack[-1].pop()
-        needs = Counter(filling)
-        times = min(int(left[x]) // k for x, k in needs.items())
-        for x, k in needs.items():
+        for x, k in Counter(filling).items():
             left[x] -= k * times
         used += times
         total -= times * sum(filling)
         path.append((filling, times))
         seen += 1
         down = True
-    return Plan(done + best, capacity)
+    return best
 
 
 def _slots(plan: Plan) -> pa.Table:

@@ -101,3 +101,31 @@ def test_never_worse_than_best_fit():
         assert used(plan) == Counter(counts)
         assert plan.sequences <= sum(n for _, n in packing.best_fit(counts, 200))
     assert packing.plan_sequences({}, 200).sequences == 0
+
+
+@pytest.mark.parametrize("times", [1, 10, 1000])
+def test_largest_lengths_with_different_fillings(times):
+    counts = {1200: 2, 1112: 1, 650: 1, 638: 1, 512: 2, 424: 4, 336: 2}
+    plan = packing.plan_sequences({x: n * times for x, n in counts.items()})
+    assert used(plan) == {x: n * times for x, n in counts.items()}
+    assert plan.sequences == 4 * times
+
+
+def test_every_filling_is_maximal_and_all_are_found():
+    from itertools import product
+
+    rng = random.Random(3)
+    for _ in range(100):
+        capacity = rng.randint(10, 40)
+        counts = np.zeros(capacity + 1, np.int64)
+        for _ in range(rng.randint(1, 8)):
+            counts[rng.randint(1, capacity - 1)] += rng.randint(1, 3)
+        first = int(np.nonzero(counts)[0][-1])
+        left = {int(x): int(counts[x]) - (x == first) for x in np.nonzero(counts)[0]}
+        want = set()
+        for ks in product(*[range(n + 1) for n in left.values()]):
+            room = capacity - first - sum(k * x for k, x in zip(ks, left))
+            if room >= 0 and not any(x <= room and k < n for k, (x, n) in zip(ks, left.items())):
+                want.add((first, *sorted((x for k, x in zip(ks, left) for _ in range(k)), reverse=True)))
+        got = list(packing.every_filling(counts, first, capacity, iter(range(10**6))))
+        assert len(got) == len(set(got)) and set(got) == want
