@@ -38,7 +38,6 @@ REVISIT_BYTES = 1000
 ARCHIVE_BYTES = 64 * 1024 * 1024
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 CHUNK = 1 << 16
-MAX_HEADER = 1 << 20
 _EMPTY = zlib.compressobj(9, zlib.DEFLATED, 31).flush()
 
 
@@ -131,11 +130,11 @@ def read_records(stream: BinaryIO) -> Iterator[Record]:
     members = _Members(stream)
     while members.begin():
         data = bytearray()
-        while (at := data.find(b"\r\n\r\n")) < 0:
-            piece = members.piece()
-            if not piece or len(data) > MAX_HEADER:
-                break
+        at, sought = -1, 0
+        while at < 0 and (piece := members.piece()):
             data += piece
+            at = data.find(b"\r\n\r\n", sought)
+            sought = max(0, len(data) - 3)
         if not data:
             members.end()
             continue  # an empty member

@@ -83,3 +83,13 @@ def test_damage_stops_the_query(spark, tmp_path):
     (tmp_path / "a").write_bytes(gzip.compress(gzip.decompress(one(b"hello")).replace(b"hello", b"hullo")))
     with pytest.raises(Exception, match="wrong block digest"):
         warc.read_archives(spark, f"file://{tmp_path}").collect()
+
+
+def test_headers_of_any_length():
+    url = "http://a/" + "é \n" * 1_000_000
+    data = warc.member("response", 1, url, b"x" * 2000, None, "d") + warc.member("response", 2, "u", b"y", None, "d")
+    first, second = warc.read_records(io.BytesIO(data))
+    assert first.headers["warc-target-uri"] == url.replace(" ", "%20").replace("\n", "%0A") and first.http()[1] == b"x" * 2000
+    assert second.http()[1] == b"y" and not first.problems + second.problems
+    with pytest.raises(warc.WarcError):
+        list(warc.read_records(io.BytesIO(gzip.compress(b"WARC/1.1\r\n" + b"a" * 3_000_000))))
