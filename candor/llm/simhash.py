@@ -5,7 +5,8 @@ most `radius` bits are linked, and every one of those links is found: fingerprin
 population counts of their four 16-bit quarters, and two fingerprints within the radius have quarter counts that
 differ by at most the radius in sum. So a tile is compared with itself and with the few tiles whose counts are that
 near, and every other pair of tiles is skipped unseen. Inside a pair numpy takes exclusive-or and bit counts of blocks.
-Tiles of over TILE fingerprints are split into chunks that meet pair by pair, so no task holds more than one chunk.
+Tiles of over TILE fingerprints are split into chunks. What a chunk is compared with comes to it in parts of about PART
+fingerprints, each beside a copy of the chunk, so a task's input does not grow with the tiles around it.
 
 Work is done on distinct fingerprints, so a large group of copies is one of them. A block hands on a spanning forest
 of the links it found, not the links. Components come from alternating large-star and small-star steps, whose state is
@@ -38,6 +39,8 @@ SEED = 42
 #: Fingerprints of a tile's chunk: 32 KB, compared in blocks of BLOCK rows.
 TILE = 4096
 BLOCK = 256
+#: Fingerprints that a chunk is compared with in one task, on average.
+PART = 65536
 
 _LOW_BITS = np.uint64(0x0101010101010101)
 
@@ -114,25 +117,39 @@ def _neighbours(radius: int) -> list[tuple[int, int, int, int]]:
     return [d for d in itertools.product(range(-radius, radius + 1), repeat=4) if sum(map(abs, d)) <= radius and d >= (0, 0, 0, 0)]
 
 
-def links(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """A spanning forest (a, b) of all links between distinct fingerprints (column fingerprint)."""
+def dealt(prints: DataFrame, radius: int, tile: int = TILE, part: int = PART) -> DataFrame:
+    """at (chunk of a tile, and a part of what it is compared with), role (0: of the chunk itself, 1: compared with it), fingerprint."""
     q = [F.bit_count(F.shiftrightunsigned("fingerprint", 16 * k).bitwiseAND(F.lit(0xFFFF))) for k in range(4)]
-    code = lambda parts: ((parts[0] * 17 + parts[1]) * 17 + parts[2]) * 17 + parts[3]
+    code = lambda parts: (((parts[0] * 17 + parts[1]) * 17 + parts[2]) * 17 + parts[3]).cast("long")
     tiled = prints.select("fingerprint", *[x.alias(f"q{k}") for k, x in enumerate(q)])
-    # one row a tile: at most 17^4, whatever the input
-    tiles = tiled.groupBy(code([F.col(f"q{k}") for k in range(4)]).alias("tile")).agg(F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias("chunks"))
-    steps = F.array(*[F.struct(*[F.lit(x).alias(f"d{k}") for k, x in enumerate(d)]) for d in _neighbours(radius)])
-    sent = tiled.select("*", F.explode(steps).alias("d"))
-    to = [F.col(f"q{k}") + F.col("d")[f"d{k}"] for k in range(4)]
-    inside = F.lit(True)
-    for x in to:
-        inside = inside & x.between(0, 16)
-    home = (F.col("d")["d0"] == 0) & (F.col("d")["d1"] == 0) & (F.col("d")["d2"] == 0) & (F.col("d")["d3"] == 0)
-    sent = sent.filter(inside).select("fingerprint", code(to).alias("tile"), home.alias("home")).join(F.broadcast(tiles), "tile")
-    own_chunk = F.pmod(F.xxhash64("fingerprint"), F.col("chunks")).cast("int")
-    sent = sent.select("tile", "fingerprint", "home", own_chunk.alias("mine"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"))
-    sent = sent.filter(~F.col("home") | (F.col("chunk") >= F.col("mine")))
-    sent = sent.select((F.col("tile").cast("long") * (1 << 32) + F.col("chunk")).alias("at"), F.when(F.col("home") & (F.col("chunk") == F.col("mine")), 0).otherwise(1).alias("role"), "fingerprint")
+    steps = F.explode(F.array(*[F.struct(*[F.lit(x).alias(f"d{k}") for k, x in enumerate(d)]) for d in _neighbours(radius)])).alias("d")
+    quarters = [F.col(f"q{k}") for k in range(4)]
+    to = [x + F.col("d")[f"d{k}"] for k, x in enumerate(quarters)]
+    inside = to[0].between(0, 16) & to[1].between(0, 16) & to[2].between(0, 16) & to[3].between(0, 16)
+    # one row a tile and one for each two that are near: at most 17^4, and some 20 times that, whatever the input
+    tiles = tiled.groupBy(*quarters).agg(F.count(F.lit(1)).alias("n"))
+    pairs = tiles.select(*quarters, "n", steps).filter(inside).select(code(to).alias("to"), code(quarters).alias("from"), "n")
+    sizes = tiles.select(code(quarters).alias("to"), F.ceil(F.col("n") / tile).alias("chunks"))
+    pairs = written(pairs.join(sizes, "to").select("to", "from", "n", "chunks", F.sum("n").over(Window.partitionBy("to").orderBy("from").rowsBetween(Window.unboundedPreceding, -1)).alias("before")), "tile-pairs")
+    own = pairs.groupBy("to").agg(F.first("chunks").alias("chunks"), (F.floor(F.sum("n") / part) + 1).alias("parts"))
+    home = tiled.select("fingerprint", code(quarters).alias("tile"))
+    # a tile's fingerprints lie behind each other in no order among all that are compared with a chunk
+    place = F.coalesce("before", F.lit(0)) + F.pmod(F.xxhash64("fingerprint", F.lit(1)), F.col("n"))
+    chunk = lambda n: F.pmod(F.xxhash64("fingerprint"), n)
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
+    held = home.join(F.broadcast(own), home["tile"] == own["to"]).select("to", chunk(F.col("chunks")).alias("chunk"), every(F.col("parts")).alias("part"), F.lit(0).alias("role"), "fingerprint")
+    sent = home.join(F.broadcast(pairs), home["tile"] == pairs["from"]).select("to", "from", F.floor(place / part).alias("part"), chunk(F.col("chunks")).alias("mine"), every(F.col("chunks")).alias("chunk"), "fingerprint")
+    sent = sent.filter((F.col("to") != F.col("from")) | (F.col("chunk") > F.col("mine"))).select("to", "chunk", "part", F.lit(1).alias("role"), "fingerprint")
+    at = F.col("to") * (1 << 46) + F.col("chunk") * (1 << 23) + F.col("part")
+    return held.union(sent).select(at.alias("at"), "role", "fingerprint")
+
+
+def links(prints: DataFrame, radius: int = RADIUS, tile: int = TILE, part: int = PART) -> DataFrame:
+    """A spanning forest (a, b) of all links between distinct fingerprints (column fingerprint)."""
+
+    def inside(at: int | None, own: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """A chunk is compared with itself beside the first part."""
+        return compare(np.concatenate(own), None, radius) if own and at % (1 << 23) == 0 else iter(())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         here, own, whole = None, [], np.zeros(0, np.uint64)
@@ -143,23 +160,20 @@ def links(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
             found = []
             for s, e in zip([0, *cuts.tolist()], [*cuts.tolist(), len(at)], strict=True):
                 if at[s] != here:
-                    if own:
-                        found += compare(np.concatenate(own), None, radius)
-                    here, own, whole = at[s], [], np.zeros(0, np.uint64)
+                    found += inside(here, own)
+                    here, own, whole = int(at[s]), [], np.zeros(0, np.uint64)
                 if role[s] == 0:
                     own.append(prints_[s:e])
                     continue
                 if own:
                     whole = np.concatenate(own)
-                    found += compare(whole, None, radius)
+                    found += inside(here, own)
                     own = []
                 found += compare(whole, prints_[s:e], radius)
             yield from _edges(found)
-        if own:
-            yield from _edges(list(compare(np.concatenate(own), None, radius)))
+        yield from _edges(list(inside(here, own)))
 
-    dealt = sent.repartition("at").sortWithinPartitions("at", "role")
-    return dealt.mapInArrow(run, "a long, b long")
+    return dealt(prints, radius, tile, part).repartition("at").sortWithinPartitions("at", "role").mapInArrow(run, "a long, b long")
 
 
 def _edges(found: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
@@ -190,9 +204,9 @@ def components(edges: DataFrame) -> DataFrame:
     return stars.select(F.col("a").alias("node"), F.col("b").alias("root")).union(stars.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
 
 
-def classes(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
+def classes(prints: DataFrame, radius: int = RADIUS, **sizes: int) -> DataFrame:
     """Of each distinct fingerprint its root and component_id. prints: fingerprint and low, the smallest id that has it."""
-    root = components(links(prints, radius))
+    root = components(links(prints, radius, **sizes))
     linked = prints.join(root, prints["fingerprint"] == root["node"]).select("fingerprint", "low", "root")
     lowest = linked.groupBy("root").agg(F.min("low").alias("component_id"))
     found = linked.select("fingerprint", "root").join(lowest, "root")
@@ -215,7 +229,8 @@ def drop_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     kept = found.groupBy("root").agg(F.min(F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col("_key").alias("key"))).alias("k"), F.count(F.lit(1)).alias("n")).select(F.col("k.id").alias(kid), F.col("k.key").alias(kkey), F.col("n").alias(kn))
     same = docs[id_col].eqNullSafe(F.col(kid)) & (text_key(docs[text_col]) == F.col(kkey))
     joined = docs.join(kept, same, "inner")
-    # rows alike in id and text can only both be kept where a component has several rows; they are few, so one is picked by a window
+    # rows alike in id and text can only both be kept where a component has several rows; the least of them stays
     alone, several = joined.filter(F.col(kn) == 1), joined.filter(F.col(kn) > 1)
-    several = several.withColumn(pick, F.row_number().over(Window.partitionBy(kid, kkey).orderBy(F.lit(1)))).filter(F.col(pick) == 1)
-    return alone.select(*docs.columns).union(several.select(*docs.columns))
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    several = several.groupBy(kid, kkey).agg(F.min_by(whole, F.to_json(whole)).alias(pick))
+    return alone.select(*[F.col(f"`{c}`") for c in docs.columns]).union(several.select(*[F.col(pick)[c].alias(c) for c in docs.columns]))

@@ -56,16 +56,33 @@ def test_odd_rows_and_dropping(spark):
     assert simhash.near_duplicates(docs.limit(0)).count() == 0 and simhash.drop_duplicates(docs.limit(0)).count() == 0
 
 
-def test_links_are_complete_with_small_chunks(spark, monkeypatch):
+def test_links_are_complete_with_small_chunks(spark):
     rng = random.Random(1)
     base = [rng.getrandbits(64) for _ in range(40)]
     prints = {b ^ sum(1 << rng.randrange(64) for _ in range(rng.randrange(4))) for b in base for _ in range(12)} | {0, 1, 3, 2**64 - 1, 2**64 - 2}
     prints |= {sum(1 << b for b in rng.sample(range(16), 2)) for _ in range(60)}
     prints = sorted(p % 2**64 for p in prints)
-    monkeypatch.setattr(simhash, "TILE", 16)
     frame = spark.createDataFrame([(int(np.uint64(p).astype(np.int64)), i) for i, p in enumerate(prints)], "fingerprint long, low long")
-    out = simhash.classes(frame).join(frame.select("fingerprint", frame["low"].alias("i")), "fingerprint").collect()
-    assert [c for _, c in sorted((r.i, r.component_id) for r in out)] == slow_components(list(range(len(prints))), prints)
+    for tile, part in ((16, 40), (4096, 65536), (3, 5)):
+        out = simhash.classes(frame, tile=tile, part=part).join(frame.select("fingerprint", frame["low"].alias("i")), "fingerprint").collect()
+        assert [c for _, c in sorted((r.i, r.component_id) for r in out)] == slow_components(list(range(len(prints))), prints)
+
+
+def test_no_task_gets_more_as_tiles_grow(spark):
+    most = {}
+    for n in (2000, 8000):
+        # all in one tile and its neighbours: at most 60 of the chunk itself, and some 100 that it is compared with
+        frame = spark.createDataFrame([(sum(1 << b for b in random.Random(i).sample(range(16), 8)) | i << 40,) for i in range(n)], "fingerprint long").distinct()
+        groups = simhash.dealt(frame, 2, tile=30, part=100).groupBy("at", "role").count().collect()
+        most[n] = max(r["count"] for r in groups)
+    assert most[8000] < 1.3 * most[2000] + 30 and most[8000] < 250
+
+
+def test_the_same_row_stays_whatever_the_order(spark):
+    rows = [(1, "a b c d", f"x{i}", None) for i in range(50)]
+    schema = "doc_id long, text string, other string, `odd.name` int"
+    kept = [simhash.drop_duplicates(spark.createDataFrame(r, schema).repartition(k)).collect() for k, r in ((1, rows), (5, rows[::-1]))]
+    assert kept[0] == kept[1] and len(kept[0]) == 1
 
 
 def test_forest_keeps_components():
