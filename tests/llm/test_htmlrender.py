@@ -1,3 +1,4 @@
+import random
 import re
 from html import unescape
 
@@ -25,6 +26,57 @@ def test_tables():
     assert render("<table><td>only") == "only"
 
 
+def test_spans():
+    assert render("<table><tr><td rowspan=2>A<td>B<tr><td>C<tr><td colspan=2>wide<td>z</table>") == "A  B\n   C\nwide  z"
+    assert render("<table><tr><th rowspan=0>k<th>a<th>b<tr><td>1<td colspan='2x'>2<td>3<tr><td>4</table>") == "k  a  b\n   1  2  3\n   4"
+    assert render("<table><tbody><tr><td rowspan=9>A<td>B<tbody><tr><td>C<td>D</table>") == "A  B\nC  D"
+    assert render(f"<table><tr><td colspan={'9' * 5000}>a<td rowspan=-3>b<tr><td colspan=0>c<td colspan=é>d</table>") == "a     b\nc  d"
+    wide = "<table>" + ("<tr>" + "<td colspan=1000>c" * 100) * 50 + "</table>"
+    assert render(wide).split("\n") == ["  ".join("c" * 100)] * 50
+    stairs = render("<table>" + "<tr><td rowspan=0>x" * 5000 + "</table>").split()
+    assert stairs == ["x"] * 5000
+    assert len(render("<table>" + "<tr><td rowspan=0>x" * 5000 + "</table>")) < 20_000
+
+
+def test_cells_stand_where_a_grid_puts_them():
+    rng = random.Random(4)
+    for _ in range(300):
+        rows = [[(f"{r}{'abcde'[c]}" + "y" * rng.randrange(6), rng.choice([1, 1, 1, 2, 3]), rng.choice([1, 1, 1, 2, 4])) for c in range(rng.randrange(5))] for r in range(rng.randrange(1, 6))]
+        grid, at = {}, {}
+        for r, row in enumerate(rows):
+            x = 0
+            for text, columns, down in row:
+                while (r, x) in grid:
+                    x += 1
+                at[text] = x
+                grid |= {(r + i, x + j): text for i in range(down) for j in range(columns)}
+                x += columns
+        lines = render("<table>" + "".join("<tr>" + "".join(f"<td colspan={c} rowspan={d}>{t}</td>" for t, c, d in row) + "</tr>" for row in rows) + "</table>").split("\n")
+        lines, rows = [x for x in lines if x], [row for row in rows if row]
+        assert [x.split() for x in lines] == [[t for t, *_ in row] for row in rows]
+        # cells of a column begin at the same place, unless one that spans columns has pushed what follows on
+        begins = {}
+        for line, row in zip(lines, rows):
+            for k, (text, *_) in enumerate(row):
+                if all(c == 1 for _, c, _ in row[:k]):
+                    begins.setdefault(at[text], set()).add(line.index(text))
+        assert all(len(x) == 1 for x in begins.values())
+
+
+def test_any_markup_is_read(spark):
+    assert render("<div>" * 250 + "<script>evil()</script><p hidden>secret</p>txt") == "txt"
+    assert render("<div>" * 300 + "<b>a</b></div>b") == "a\nb"
+    assert render("a<![x") == "a" and render("a<![if !IE]>b<![endif]>c<!ELEMENT x>d<!>e") == "abcde"
+    rng = random.Random(2)
+    tags = "table tr td tbody caption form p div ul ol li b a dl dt select option button script style head title body pre details summary template col svg".split()
+    pieces = [*(f"<{t}>" for t in tags), *(f"</{t}>" for t in tags), "<!", "<![", "<![CDATA[", "<!--", "-->", "<?", "</", "<", ">", "]]>", "&", "&#", "&#x110000;", "<td rowspan=3 colspan=2>", "<a b=", "'", "\x00", "w "]
+    pages = ["".join(rng.choices(pieces, k=rng.randrange(1, 40))) for _ in range(2000)]
+    pages += ["<![x", f"<td colspan={'9' * 5000}>a", "<ul><li>x" * 3000, "<i>" + "<b>" * 30000 + "</u>" * 30000 + "</i>z"]
+    out = htmlrender.extract(spark.createDataFrame(list(enumerate(pages)), "page_id long, html string")).collect()
+    assert len(out) == len(pages) and all(r.text is not None for r in out)
+    assert len(out[-2].text) < 3000 * (htmlrender.INDENT_MOST + 4) and out[-2].text.count("x") == 3000
+
+
 def test_misplaced_in_a_table():
     assert render("<table><tr><form><td>Name</td><td>x</td></form></tr></table>") == "Name  x"
     assert render("<form><table><form><tr><td>a</form><td>b</table>c</form>d") == "a  b\n\nc\nd"
