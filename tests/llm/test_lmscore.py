@@ -40,7 +40,7 @@ def brute(rows, order, rounds=lmscore.ROUNDS, dev=lmscore.DEV):
     n, v = sum(c for g, c in every[0].items() if len(g) == 1), sum(len(g) == 1 for g in every[0])
 
     def situation(line, j, grams, contexts):
-        p = [1 / (v + 1), grams[(line[j],)] / max(n, 1)]
+        p = [1 / (v + 1), grams[(line[j],)] / max(contexts[()], 1)]  # the empty context: all tokens that are counted
         for k in range(1, order):
             c = contexts[tuple(line[j - k : j])]
             p.append(grams[tuple(line[j - k : j + 1])] / c if c else 0.0)
@@ -77,7 +77,8 @@ def brute(rows, order, rounds=lmscore.ROUNDS, dev=lmscore.DEV):
 
 
 def same(df, want):
-    got = sorted((str(r.doc_id), r.train, r.n_tokens, r.n_known, r.train_tokens, r.base_score, r.score) for r in df.collect())
+    rows = df if isinstance(df, list) else df.collect()
+    got = sorted((str(r.doc_id), r.train, r.n_tokens, r.n_known, r.train_tokens, r.base_score, r.score) for r in rows)
     want = sorted(want)
     assert [g[:5] for g in got] == [w[:5] for w in want]
     assert np.allclose([g[5:] for g in got], [w[5:] for w in want], rtol=1e-9, atol=1e-6)
@@ -97,7 +98,7 @@ def test_against_brute_force(spark, sf, order):
 def test_odd_rows(spark):
     rows = [(None, "a b A b"), (1, None), (2, ""), (3, "É x É y"), (3, "É x É y"), *((i, f"a b c{i % 5} \x1f a b") for i in range(4, 400)), (500, "a b c " * 30000)]
     docs = spark.createDataFrame([(*r, 7) for r in rows], "doc_id long, text string, n_tokens int")
-    same(lmscore.score(docs, train()), brute(rows, 2))
+    same(lmscore.score(docs, train()), brute(rows, 3))
     assert lmscore.score(docs.limit(0), train()).count() == 0
 
 
@@ -110,3 +111,30 @@ def test_nothing_to_learn_from(spark):
 def test_query_beats_the_base(spark, sf):
     out = queries.op5_lm_scoring(spark, sf).filter("held_out").collect()
     assert sum(r.score for r in out) > sum(r.base_score for r in out)
+
+
+def test_masses_of_equal_rows_are_dealt_out(spark):
+    docs = spark.range(100_000).select(F.lit(4).alias("doc_id"), F.lit("a b a").alias("text"))
+    blocks = lmscore.blocked(docs, "doc_id", "text", train(), F.lit(False), 20_000)
+    sizes = [r.chars for r in blocks.select("chars").collect()]
+    assert sum(sizes) == 600_000 and len(sizes) >= 20 and max(sizes) <= 20_006
+    rows = lmscore.score(docs.union(spark.createDataFrame([(5, "b c")], "doc_id int, text string")), train(), block_chars=20_000, shard_chars=10_000).distinct().collect()
+    same(rows, {r for r in brute([(4, "a b a")] * 100_000 + [(5, "b c")], 3)})
+
+
+def test_slices_of_a_block_add_up(monkeypatch):
+    texts = [("a b c " * 30 + f"d{i} " * (i % 3)).encode() for i in range(20)]
+    dealer = lmscore.Dealer()
+    for i, t in enumerate(texts):
+        dealer.add(i, t)
+    tokens, words = dealer.payload()
+    table = lmscore.pa.table({"dev": [False], "ids": [list(range(20))], "train": [[i % 4 > 0 for i in range(20)]], "sizes": [lmscore.packed(np.array(dealer.sizes, "<i8"))], "tokens": [tokens], "words": [words]})
+    found = {}
+    for size in (1 << 19, 7, 1):
+        monkeypatch.setattr(lmscore, "SLICE", size)
+        block = lmscore.Block(table, 3)
+        alive = np.arange(len(block.learned)) % 3 > 0
+        keys, *counts = block.distinct((1, 2), None)
+        some, *fewer = block.distinct((3,), alive)
+        found[size] = [x.tolist() for x in (keys, *counts, some, *fewer, *block.totals(2, None, keys, *counts), *block.totals(3, alive, some, *fewer))]
+    assert found[7] == found[1] == found[1 << 19] and sum(found[7][1]) == 2 * len(alive)
