@@ -14,7 +14,7 @@ Defined cases
 * null url, or none with `://`: host and path empty, no explicit rule, no tokens, verdict allow.
 * null or empty path: no explicit rule fits, since their paths begin with a slash.
 * conflicting labels of one id: bad if any is. Null labels count as good (quality) and not toxic.
-* no labelled URL, or no rule good enough: everything without an explicit rule is allowed.
+* no labelled URL, fewer than LEAST_URLS bad ones, or no rule good enough: everything without an explicit rule is allowed.
 * repeated rows: each is judged. Result columns replace input columns of the same name; other columns pass through.
 """
 
@@ -34,6 +34,10 @@ RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "exa
 #: Share of labelled URLs that a rule's tokens and label hold together, and share of bad ones among those with its tokens.
 SUPPORT = 0.002
 CONFIDENCE = 0.6
+#: And how many labelled bad URLs it takes at least, so that a rule is never a memory of a few URLs.
+LEAST_URLS = 5
+#: Tokens of a rule. A longer rule adds something only where none of its parts reaches its confidence, and its URLs are a
+#: part of theirs; the sets to recount grow with this power of a URL's tokens.
 MAX_TOKENS = 3
 #: Items that the miner is given at a time; a URL with more is given in overlapping parts.
 BASKET = 12
@@ -69,7 +73,7 @@ def tokens(url: Column) -> Column:
     return F.array_distinct(F.when(F.contains(text, F.lit("://")), made).otherwise(F.array().cast("array<string>")))
 
 
-def mine(pages: DataFrame, labels: DataFrame, *, id_col: str = "page_id", url_col: str = "url", support: float = SUPPORT, confidence: float = CONFIDENCE, max_tokens: int = MAX_TOKENS) -> DataFrame:
+def mine(pages: DataFrame, labels: DataFrame, *, id_col: str = "page_id", url_col: str = "url", support: float = SUPPORT, confidence: float = CONFIDENCE, least_urls: int = LEAST_URLS, max_tokens: int = MAX_TOKENS) -> DataFrame:
     """Blocking rules: rule (sorted tokens), confidence, support; written to the shared folder."""
     bad = ((F.coalesce("quality", F.lit(1)) == 0) | (F.coalesce("toxic", F.lit(0)) == 1)).cast("int")
     known = labels.filter(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.max(bad).alias("_bad"))
@@ -77,7 +81,7 @@ def mine(pages: DataFrame, labels: DataFrame, *, id_col: str = "page_id", url_co
     baskets = marked.select(F.monotonically_increasing_id().alias("row"), tokens(F.col("_url")).alias("tokens"), "_bad").filter((F.size("tokens") > 0) | (F.col("_bad") == 1))
     baskets = written(baskets, "url-baskets")
     rows, bads = baskets.agg(F.count(F.lit(1)), F.coalesce(F.sum("_bad"), F.lit(0))).first()
-    least = next(k for k in count(max(1, int(support * rows) - 1)) if k >= support * rows or k / rows >= support)
+    least = next(k for k in count(max(1, least_urls, int(support * rows) - 1)) if k >= support * rows or k / rows >= support)
     if bads < least:
         return pages.sparkSession.createDataFrame([], "rule array<string>, confidence double, support double")
     told = baskets.select("row", "_bad", F.explode("tokens").alias("token"))
@@ -165,9 +169,9 @@ def match(urls: DataFrame, rules: DataFrame, key: str, token_col: str) -> DataFr
     return hits.groupBy(key).agg(F.max("confidence").alias("confidence"))
 
 
-def judge(pages: DataFrame, labels: DataFrame, *, id_col: str = "page_id", url_col: str = "url", rules: list[tuple[str, str, str]] = RULES, support: float = SUPPORT, confidence: float = CONFIDENCE) -> DataFrame:
+def judge(pages: DataFrame, labels: DataFrame, *, id_col: str = "page_id", url_col: str = "url", rules: list[tuple[str, str, str]] = RULES, support: float = SUPPORT, confidence: float = CONFIDENCE, least_urls: int = LEAST_URLS, max_tokens: int = MAX_TOKENS) -> DataFrame:
     """The pages with host, path, rule, confidence (of the best learned rule that fits) and verdict."""
-    learned = mine(pages, labels, id_col=id_col, url_col=url_col, support=support, confidence=confidence)
+    learned = mine(pages, labels, id_col=id_col, url_col=url_col, support=support, confidence=confidence, least_urls=least_urls, max_tokens=max_tokens)
     key, fkey, sure = fresh(pages.columns, "_url_key"), fresh(pages.columns, "_found_key"), fresh(pages.columns, "_confidence")
     urls = pages.select(text_key(F.col(url_col)).alias("key"), tokens(F.col(url_col)).alias("tokens"))
     hits = written(match(urls, learned, "key", "tokens").select(F.col("key").alias(fkey), F.col("confidence").alias(sure)), "url-hits")

@@ -56,7 +56,7 @@ def test_mined_rules_match_brute_force(spark):
     for k in (1, 2, 3):
         for rule in {c for t, b in baskets if b for c in combinations(sorted(t), k)}:
             own = [b for t, b in baskets if t.issuperset(rule)]
-            if sum(own) / len(baskets) >= support and sum(own) / len(own) >= confidence:
+            if sum(own) >= urlfilter.LEAST_URLS and sum(own) / len(baskets) >= support and sum(own) / len(own) >= confidence:
                 rules[rule] = sum(own) / len(own)
     kept = {r: c for r, c in rules.items() if not any(set(s) < set(r) and rules[s] >= c for s in rules)}
     got = {tuple(r.rule): r.confidence for r in urlfilter.mine(frame, labels, support=support, confidence=confidence).collect()}
@@ -96,10 +96,39 @@ def mined(spark, rows, support, confidence):
         for rule in {c for k in (1, 2, 3) for c in combinations(sorted(tokens(u)), k)}:
             n, bad = seen.get(rule, (0, 0))
             seen[rule] = (n + 1, bad + b)
-    rules = {r: (bad / n, bad / len(rows)) for r, (n, bad) in seen.items() if bad and bad / len(rows) >= support and bad / n >= confidence}
+    rules = {r: (bad / n, bad / len(rows)) for r, (n, bad) in seen.items() if bad >= urlfilter.LEAST_URLS and bad / len(rows) >= support and bad / n >= confidence}
     return got, {r: v for r, v in rules.items() if not any(rules.get(s, (0,))[0] >= v[0] for k in range(1, len(r)) for s in combinations(r, k))}
 
 
+def test_a_few_urls_are_no_rule(spark):
+    got, want = mined(spark, [("http://a.b/x", 1)] * 4 + [("http://a.b/y", 1)] * 5 + [("http://a.b/z", 0)] * 90, 0.002, 0.6)
+    assert got == want == {("p:y",): (1.0, pytest.approx(5 / 99))}
+
+
+def test_whole_query_against_brute_force(spark, sf):
+    """Every verdict of the registered query on the larger table, from counting all sets of up to three tokens."""
+    from itertools import combinations
+
+    sf = sf.replace("0.001", "0.1")
+    pages = {r.page_id: r.url for r in spark.read.parquet(f"{sf}/pages.parquet").collect()}
+    bad = {r.doc_id: int(r.quality == 0 or r.toxic == 1) for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
+    seen = {}
+    known = [(tokens(pages[i]), b) for i, b in bad.items() if i in pages]
+    known = [x for x in known if x[0] or x[1]]
+    for own, b in known:
+        for rule in {c for k in (1, 2, 3) for c in combinations(sorted(own), k)}:
+            n, m = seen.get(rule, (0, 0))
+            seen[rule] = (n + 1, m + b)
+    rules = {r: m / n for r, (n, m) in seen.items() if m >= urlfilter.LEAST_URLS and m / len(known) >= urlfilter.SUPPORT and m / n >= urlfilter.CONFIDENCE}
+    out = queries.op2_url_filters(spark, sf).collect()
+    assert len(out) == len(pages)
+    for r in out:
+        own = sorted(tokens(pages[r.page_id]))
+        best = max((rules[c] for k in (1, 2, 3) for c in combinations(own, k) if c in rules), default=None)
+        rule, verdict = explicit(*split(pages[r.page_id]))
+        assert (r.rule, r.verdict) == (rule, verdict or ("allow" if best is None else "block")) and (best is None) == (r.confidence is None)
+
+
 def test_long_good_urls_count_against_a_rule(spark):
     rows = [("http://www.shop.com/x", 1)] * 100 + [("http://www.shop.com/" + "/".join(f"g{k}" for k in range(14)) + f"/{i % 2}", 0) for i in range(200)]
     got, want = mined(spark, rows, 0.002, 0.6)
