@@ -21,6 +21,7 @@ Defined cases
 
 from __future__ import annotations
 
+import json
 import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
@@ -34,7 +35,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import written
+from .common import sized_broadcast, written
 
 CAPACITY = 2048
 #: Decisions of the search after which the incumbent stands.
@@ -43,15 +44,18 @@ NODES = 4000
 WIDTH = 6
 #: Steps of enumerating fillings in the second pass, a decision.
 STEPS = 250
-#: Ranks are counted in so many parts of each length, so a length that most pieces share is no single task.
-SALTS = 64
+#: Pieces of a length are ranked in parts of about so many, so a length that most pieces share is no single task.
+RANKED = 1000
 #: Parts of texts whose ids a worker remembers.
 CACHED = 700_000
 #: Characters that are tokenized at a time; a worker's memory is some ten times as many bytes.
 SLICE_CHARS = 1 << 21
 
 
-#: How the vocabulary splits lower-cased Latin-1 text into parts, each encoded by itself; fixed values.
+# How one vocabulary's file says that it normalizes and splits texts.
+_NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+_PARTS = {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True}
+#: What that comes to for lower-cased Latin-1 text; each part is encoded by itself.
 _SPLIT = re.compile(rb"'s|'t|'re|'ve|'m|'ll|'d|[a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff]+|[0-9\xb2\xb3\xb9\xbc-\xbe]|[^\s\x85\xa00-9a-z\xaa\xb2\xb3\xb5\xb9\xba\xbc-\xbe\xdf-\xf6\xf8-\xff]+").findall
 _DIGITS = {bytes([b]) for b in b"0123456789\xb2\xb3\xb9\xbc\xbd\xbe"}
 _LOWER = bytes(ord(c.lower()) for c in map(chr, range(256)))
@@ -60,8 +64,9 @@ _LOWER = bytes(ord(c.lower()) for c in map(chr, range(256)))
 class _Parts(dict):
     """Token ids, as little-endian 32-bit integers, of the parts met so far.
 
-    Latin-1 texts without special tokens are split here; parts not met before are encoded together, as one text. Any
-    other text goes to the tokenizer whole.
+    Where the vocabulary's file says that it splits texts as _SPLIT does, Latin-1 texts without special tokens are split
+    here; parts not met before are encoded together, as one text. Any other text, and every text of another vocabulary,
+    goes to the tokenizer whole.
     """
 
     def __init__(self, path: str):
@@ -69,9 +74,15 @@ class _Parts(dict):
 
         tokenizer = Tokenizer.from_file(path)
         self._encode = lambda texts: tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        (self._zero,) = self._encode(["0"])[0].ids
+        told = json.loads(tokenizer.to_str())
+        first = (told["pre_tokenizer"] or {}).get("pretokenizers", [None])[0]
+        self._splits = told["normalizer"] == _NORMALIZER and first == _PARTS and all(t["content"].startswith("<|") for t in told["added_tokens"])
+        if self._splits:
+            (self._zero,) = self._encode(["0"])[0].ids
 
     def tokenize(self, texts: list[str]) -> list[bytes]:
+        if not self._splits:
+            return [np.array(got.ids, "<u4").tobytes() for got in self._encode(texts)]
         split, whole = [], []
         for i, text in enumerate(texts):
             try:
@@ -357,25 +368,30 @@ def _slots(plan: Plan) -> pa.Table:
     return pa.table({n: pa.array([r[i] for r in rows], pa.int64()) for i, n in enumerate(names)})
 
 
-def assign(pieces: DataFrame, *, capacity: int = CAPACITY, nodes: int = NODES) -> DataFrame:
+def assign(pieces: DataFrame, *, capacity: int = CAPACITY, nodes: int = NODES, ranked: int = RANKED) -> DataFrame:
     """The pieces (any frame with a length from 1 to capacity) with sequence_id and offset. Written once to the shared folder."""
     pieces = written(pieces.drop("sequence_id", "offset"), "pieces")
-    salted = pieces.withColumn("_salt", F.pmod(F.xxhash64(*pieces.columns), F.lit(SALTS)).cast("int"))
+    histogram = {int(r["length"]): int(r["n"]) for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most `capacity` rows
+    plan = plan_sequences(histogram, capacity, nodes)
+    # a piece that fills a sequence needs no rank, only a number beyond those of the plan
+    full = pieces.filter(F.col("length") == capacity).select(*pieces.columns, (F.monotonically_increasing_id() + plan.sequences).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    # split() and the cast fold to one literal array: of each length, in how many parts it is ranked
+    salts = F.get(F.split(F.lit(",".join(str(1 + histogram.get(x, 0) // ranked) for x in range(capacity + 1))), ",").cast("array<long>"), F.col("length").cast("int"))
+    salted = pieces.filter(F.col("length") < capacity).withColumn("_salt", F.pmod(F.xxhash64(*pieces.columns), salts).cast("long"))
     counted = salted.groupBy("length", "_salt").agg(F.count(F.lit(1)).alias("_n"))
     by_length = Window.partitionBy("length").orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)
     before = counted.select("length", "_salt", F.coalesce(F.sum("_n").over(by_length), F.lit(0)).alias("_before"))
-    histogram = {int(r["length"]): int(r["n"]) for r in counted.groupBy("length").agg(F.sum("_n").alias("n")).collect()}  # at most `capacity` rows
+    before = sized_broadcast(written(before, "ranks-before"), 40)  # a row a length, and one more for each `ranked` pieces
     # a row for each length of each filling, of which a plan over so few lengths has thousands at most
-    slots = F.broadcast(pieces.sparkSession.createDataFrame(_slots(plan_sequences(histogram, capacity, nodes))))
+    slots = F.broadcast(pieces.sparkSession.createDataFrame(_slots(plan)))
     within = Window.partitionBy("length", "_salt").orderBy(F.xxhash64(*pieces.columns), *[c for c in pieces.columns if c != "length"])
-    ranked = salted.withColumn("_rank", F.row_number().over(within)).join(F.broadcast(before), ["length", "_salt"])  # at most capacity * SALTS rows
-    ranked = ranked.withColumn("_rank", F.col("_before") + F.col("_rank") - 1)
-    placed = ranked.join(slots, (F.col("length") == F.col("_length")) & (F.col("_rank") >= F.col("_from")) & (F.col("_rank") < F.col("_to")))
+    placed = salted.withColumn("_rank", F.row_number().over(within)).join(before, ["length", "_salt"]).withColumn("_rank", F.col("_before") + F.col("_rank") - 1)
+    placed = placed.join(slots, (F.col("length") == F.col("_length")) & (F.col("_rank") >= F.col("_from")) & (F.col("_rank") < F.col("_to")))
     nth = F.col("_rank") - F.col("_from")
-    return placed.select(*pieces.columns, (F.col("_base") + F.floor(nth / F.col("_each"))).cast("long").alias("sequence_id"), (F.col("_at") + nth % F.col("_each") * F.col("length")).alias("offset"))
+    placed = placed.select(*pieces.columns, (F.col("_base") + F.floor(nth / F.col("_each"))).cast("long").alias("sequence_id"), (F.col("_at") + nth % F.col("_each") * F.col("length")).alias("offset"))
+    return placed.union(full)
 
 
 def pack(docs: DataFrame, tokenizer_path: str, *, capacity: int = CAPACITY, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", nodes: int = NODES) -> DataFrame:
     """All documents as pieces with their tokens, sequence and place in it."""
     return assign(cut(docs, tokenizer_path, capacity=capacity, end_id=end_id, id_col=id_col, text_col=text_col), capacity=capacity, nodes=nodes)
-

@@ -129,3 +129,19 @@ def test_every_filling_is_maximal_and_all_are_found():
                 want.add((first, *sorted((x for k, x in zip(ks, left) for _ in range(k)), reverse=True)))
         got = list(packing.every_filling(counts, first, capacity, iter(range(10**6))))
         assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_any_other_vocabulary(spark):
+    path = queries.tokenizer_path("byte_bpe_50k.json")
+    other = Tokenizer.from_file(path)
+    texts = ["Hello there, don't", None, "É ü <|endoftext|> 12", " a  b"]
+    rows = packing.cut(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), path).collect()
+    assert {r.doc_id: np.frombuffer(bytes(r.tokens), "<u4").tolist() for r in rows} == {i: [*other.encode(t or "", add_special_tokens=False).ids, 0] for i, t in enumerate(texts)}
+
+
+def test_hot_lengths_are_ranked_in_parts(spark):
+    lengths = [2048] * 300 + [1500] * 400 + [548] * 390 + [7] * 2000
+    frame = spark.createDataFrame([(i % 50, x) for i, x in enumerate(lengths)], "doc_id long, length long")
+    rows = packing.assign(frame, ranked=64).collect()
+    assert Counter(r.length for r in rows) == Counter(lengths)
+    assert check_places(rows) == packing.plan_sequences(Counter(lengths)).sequences
