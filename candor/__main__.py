@@ -22,7 +22,7 @@ def main(argv: list[str] | None = None) -> None:
             p.add_argument("--sample", type=int)
             p.add_argument("--skip-embeddings", action="store_true")
         elif name == "train":
-            p.add_argument("--trials", type=int, default=8)
+            p.add_argument("--trials", type=int, default=phases.model.TRIALS)
         elif name == "score":
             p.add_argument("--prior-weight", type=float, default=phases.scoring.PRIOR_WEIGHT)
         elif name == "serve":

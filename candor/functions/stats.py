@@ -58,3 +58,27 @@ def histogram_bin(x: Column, bins: int = 10) -> Column:
 
 def half_stars(x: Column) -> Column:
     return F.round(x * 2) / 2
+
+
+#: What is shown for a missing value.
+MISSING = "—"
+
+
+def shown_rating(x: Column) -> Column:
+    """Two decimals."""
+    return F.when(x.isNull(), MISSING).otherwise(F.format_string("%.2f", x.cast("double")))
+
+
+def shown_share(x: Column) -> Column:
+    """Whole percent of a share."""
+    return F.when(x.isNull(), MISSING).otherwise(F.concat(F.round(x * 100).cast("long").cast("string"), F.lit("%")))
+
+
+def shown_count(x: Column) -> Column:
+    """With commas between thousands."""
+    return F.when(x.isNull(), MISSING).otherwise(F.format_number(x.cast("long"), 0))
+
+
+def shown_date(x: Column) -> Column:
+    """As Jan 2, 2020."""
+    return F.coalesce(F.date_format(x, "MMM d, yyyy"), F.lit(MISSING))

@@ -43,19 +43,21 @@ def features(text: Column) -> dict[str, Column]:
     }
 
 
-def syllables(word: Column) -> Column:
-    """Groups of vowels, less a silent e at the end; at least one."""
-    groups = _count(word, r"(?i)[aeiouy]+")
-    return F.greatest(F.lit(1), F.when((groups > 1) & F.lower(word).endswith("e"), groups - 1).otherwise(groups))
+def syllables(words: Column) -> Column:
+    """Of words with a space between them: groups of vowels, less a silent e after another group, and one where there is none."""
+    groups = _count(words, "(?i)[aeiouy]+")
+    silent = _count(words, "(?i)[aeiouy][^aeiouy ]+[aeiouy]*e(?![^ ])")
+    without = _count(words, "(?i)(?<![^ ])[^aeiouy ]+(?![^ ])")
+    return groups - silent + without
 
 
 def flesch(text: Column) -> Column:
     """Reading ease; zero for null text and text without words. Sentence ends are counted one by one, at least one."""
     text = F.coalesce(text, F.lit(""))
-    words = F.regexp_extract_all(text, F.lit(LETTERS), F.lit(0))
-    n = F.size(words).cast("double")
+    words = F.array_join(F.regexp_extract_all(text, F.lit(LETTERS), F.lit(0)), " ")
+    n = _count(words, "[^ ]+").cast("double")
     ends = F.greatest(F.lit(1), _count(text, "[.!?]")).cast("double")
-    spoken = F.aggregate(words, F.lit(0), lambda acc, w: acc + syllables(w)).cast("double")
+    spoken = syllables(words).cast("double")
     return F.when(n > 0, 206.835 - 1.015 * n / ends - 84.6 * spoken / F.when(n > 0, n)).otherwise(0.0)
 
 

@@ -41,10 +41,7 @@ def gap_stats(reviews: DataFrame) -> DataFrame:
 
 
 def first_week(reviews: DataFrame, users: DataFrame) -> DataFrame:
-    """Reviews that each known author wrote within a week of joining; zero included.
-
-    Reviews are counted per author before the outer join's group by, so the join's output is the users and their hits.
-    """
+    """Reviews that each known author wrote within a week of joining; zero included. The join yields the users and their hits."""
     since = users.select(F.col("user_id"), "yelping_since")
     week = reviews.select(F.col("user_id").alias("_u"), "date", "review_id")
     hit = (F.col("user_id") == F.col("_u")) & (F.col("date") >= F.col("yelping_since")) & (F.col("date") < F.col("yelping_since") + F.expr("interval '7' day"))

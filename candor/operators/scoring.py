@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from candor.functions.stats import histogram_bin, rating_interval
+from candor.operators.metrics import exact_quantiles
 
 PRIOR_WEIGHT = 10.0
 FLAG_ABOVE = 0.5
@@ -34,14 +35,17 @@ def global_trust_mean(reviews: DataFrame) -> DataFrame:
 def score_businesses(reviews: DataFrame, prior_weight: float = PRIOR_WEIGHT) -> DataFrame:
     """Per business: counts, plain mean, the rating shrunk towards the global mean, and its interval.
 
-    One aggregation, partial on the map side; the global mean is a row of its own size.
+    The reviews are read once: the global mean is that of the businesses' sums. It is one row, so joining it without a
+    key multiplies nothing.
     """
     trust, flag = 1 - F.col("p_fake"), (F.col("p_fake") > FLAG_ABOVE).cast("long")
     sums = reviews.groupBy("business_id").agg(
-        F.count(F.lit(1)).alias("n_reviews"), F.avg("stars").alias("naive_mean"), F.sum(F.col("stars") * trust).alias("_weighted"),
+        F.count(F.lit(1)).alias("n_reviews"), F.avg("stars").alias("naive_mean"), F.sum(F.col("stars") * trust).alias("_weighted"), F.sum("stars").alias("_stars"), F.count("stars").alias("_rated"),
         F.sum(trust).alias("n_eff"), F.sum(flag).alias("n_flagged"),
     )
-    scored = sums.join(F.broadcast(global_trust_mean(reviews)))  # one row
+    total = F.sum("n_eff")
+    mean = sums.agg(F.when(total > 0, F.sum("_weighted") / F.when(total > 0, total)).otherwise(F.sum("_stars") / F.sum("_rated")).alias("global_mean"))
+    scored = sums.join(F.broadcast(mean))  # one row
     rrs = (F.col("_weighted") + prior_weight * F.col("global_mean")) / (F.col("n_eff") + prior_weight)
     scored = scored.withColumn("rrs", rrs)
     low, high = rating_interval(F.col("rrs"), F.col("n_eff"))
@@ -57,8 +61,9 @@ def largest_downward(scores: DataFrame, n: int = 15, least_reviews: int = 20) ->
 
 def distribution(scores: DataFrame) -> DataFrame:
     """One row: mean, quantiles, mean size of the change, and the median share flagged."""
-    quantiles = [F.percentile("rrs", F.lit(q)).alias(f"p{round(q * 100):02d}") for q in (0.05, 0.25, 0.5, 0.75, 0.95)]
-    return scores.agg(F.count(F.lit(1)).alias("n_businesses"), F.avg("rrs").alias("mean_rrs"), *quantiles, F.avg(F.abs("rrs_delta")).alias("mean_abs_delta"), F.percentile("pct_flagged", F.lit(0.5)).alias("median_pct_flagged"))
+    both = scores.agg(F.count(F.lit(1)).alias("n_businesses"), F.avg("rrs").alias("mean_rrs"), F.avg(F.abs("rrs_delta")).alias("mean_abs_delta"))
+    parts = [both, exact_quantiles(scores, "rrs", {f"p{round(q * 100):02d}": q for q in (0.05, 0.25, 0.5, 0.75, 0.95)}, 1.0, 5.0), exact_quantiles(scores, "pct_flagged", {"median_pct_flagged": 0.5})]
+    return parts[0].join(F.broadcast(parts[1])).join(F.broadcast(parts[2]))  # each is one row
 
 
 def fake_histogram(reviews: DataFrame, bins: int = 10) -> DataFrame:

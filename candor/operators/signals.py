@@ -4,6 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from candor.operators.model import SoftModel, explain
+
 TOP = 3
 
 
@@ -74,3 +80,17 @@ def top_signals(features: list[str], values: list[float], contributions: list[fl
     """The k largest contributions above zero, the largest first."""
     raising = sorted((i for i, c in enumerate(contributions) if c > 0), key=lambda i: -contributions[i])
     return [render(features[i], values[i]) for i in raising[:k]]
+
+
+def with_signals(rows: DataFrame, model: SoftModel, id_col: str = "review_id") -> DataFrame:
+    """The feature rows with signals: the strongest contributions of known values, in words."""
+    names = list(model.features)
+
+    def tell(values: pd.Series, contributions: pd.Series) -> pd.Series:
+        return pd.Series([top_signals(names, v, [c if x == x else 0.0 for x, c in zip(v, told, strict=True)]) for v, told in zip(values, contributions, strict=True)])
+
+    # nulls as NaN, which compares unequal to itself
+    values = F.array(*[F.coalesce(F.col(c).cast("double"), F.lit(float("nan"))) for c in names])
+    told = explain(rows, model, id_col).drop("base")
+    joined = rows.join(told, id_col)
+    return joined.withColumn("signals", F.pandas_udf(tell, "array<string>")(values, F.col("contributions"))).drop("contributions")

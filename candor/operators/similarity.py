@@ -1,8 +1,11 @@
 """The most similar other review of the same group, by TF-IDF terms or by embedding.
 
-Both come as joins on the group key, never on the driver. Terms first: only terms that two texts of a group share
-produce pairs, and identical texts are folded into one before pairing, so copies do not multiply. Vectors: groups are
-cut into blocks of BLOCK rows, and a task compares one pair of blocks, so its memory does not depend on the group.
+Nothing is compared on the driver, and no pair of texts is a row. Identical texts are folded into one, and a text's terms
+are made once, however many groups it stands in. A group whose terms fit TERMS is one call of numpy. A larger group gets
+its weights from Spark's aggregations and is cut into blocks; a task compares one pair of blocks, so its memory does not
+depend on the group. Inside, terms that many texts share are multiplied as dense columns, the others by their holders.
+Vectors are compared by blocks of BLOCK rows in the same way. The work of comparing stays quadratic in a group, as that of
+any exact answer that looks at all of its pairs.
 """
 
 from __future__ import annotations
@@ -11,11 +14,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 TOKEN = r"(?U)\b\w\w+\b"
 BLOCK = 1024
+#: Terms, repeats counted, of a block of texts: some 100 MB in a worker.
+TERMS = 1 << 21
+#: Products of terms that are made at a time.
+PRODUCTS = 1 << 21
 
 
 def terms(text: Column) -> Column:
@@ -25,24 +34,114 @@ def terms(text: Column) -> Column:
     return F.concat(words, F.zip_with(F.slice(words, F.lit(1), rest), F.slice(words, F.lit(2), rest), lambda a, b: F.concat_ws(" ", a, b)))
 
 
-def text_similarity(df: DataFrame, key: str, id_col: str, text_col: str = "text") -> DataFrame:
+def _flat(lists: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """Row and value of every element."""
+    sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy()
+    return np.repeat(np.arange(len(sizes)), sizes), pc.list_flatten(lists).to_numpy()
+
+
+def products(own: tuple[np.ndarray, np.ndarray, np.ndarray], other: tuple[np.ndarray, np.ndarray, np.ndarray], n: int, m: int) -> np.ndarray:
+    """Dot products (n x m) of sparse rows, given as (row, term, weight), each sorted by term."""
+    out = np.zeros((n, m))
+    shared = np.intersect1d(own[1], other[1])
+    if not len(shared):
+        return out
+    (r1, t1, w1), (r2, t2, w2) = ([x[keep] for x in side] for side in (own, other) for keep in [np.isin(side[1], shared)])
+    at1, at2 = np.searchsorted(shared, t1), np.searchsorted(shared, t2)
+    c1, c2 = np.bincount(at1, minlength=len(shared)), np.bincount(at2, minlength=len(shared))
+    dense = c1 * c2 * 200 >= n * m  # a product of dense columns is some hundred times cheaper than one by holders
+    many = np.flatnonzero(dense)
+    place = np.cumsum(dense) - 1
+    for s in range(0, len(many), 2048):
+        a, b = np.zeros((n, 2048)), np.zeros((m, 2048))
+        for wide, r, at, w in ((a, r1, at1, w1), (b, r2, at2, w2)):
+            here = dense[at] & (place[at] >= s) & (place[at] < s + 2048)
+            wide[r[here], place[at[here]] - s] = w[here]
+        out += a @ b.T
+    first = np.concatenate([[0], np.cumsum(c2)])
+    left = np.flatnonzero(~dense[at1])
+    ends = np.cumsum(c2[at1[left]])
+    for part in np.split(left, np.flatnonzero(np.diff(ends // PRODUCTS)) + 1):
+        k = c2[at1[part]]
+        i = np.repeat(part, k)
+        j = first[at1[i]] + np.arange(len(i)) - np.repeat(np.cumsum(k) - k, k)
+        out += np.bincount(r1[i] * m + r2[j], w1[i] * w2[j], n * m).reshape(n, m)
+    return out
+
+
+def _within(table: pa.Table) -> pa.Table:
+    """A whole group: key, copy and the greatest similarity of each of its texts with another."""
+    row, term = _flat(table["terms"])
+    copies, n = table["copies"].to_numpy(), len(table)
+    new = np.concatenate([[True], (row[1:] != row[:-1]) | (term[1:] != term[:-1])]) if len(row) else np.zeros(0, bool)
+    starts = np.flatnonzero(new)
+    tf = np.diff(np.append(starts, len(row)))
+    row, term = row[starts], term[starts]
+    order = np.argsort(term, kind="stable")
+    row, term, tf = row[order], term[order], tf[order]
+    kinds, at, holders = np.unique(term, return_inverse=True, return_counts=True)
+    df = np.bincount(at, copies[row], len(kinds))
+    w = tf * (np.log((1 + int(copies.sum())) / (1 + df[at])) + 1)
+    norm = np.sqrt(np.bincount(row, w * w, n))
+    several = holders[at] > 1
+    unit = row[several], term[several], w[several] / norm[row[several]]
+    sims = products(unit, unit, n, n)
+    np.fill_diagonal(sims, 0.0)
+    best = np.where(copies > 1, (norm > 0).astype(float), sims.max(axis=1))
+    return pa.table([table["key"], table["copy"], pa.array(best)], names=["key", "copy", "max_sim"])
+
+
+def _between(table: pa.Table) -> pa.Table:
+    """Two blocks of a group, or one and itself: key, copy and the greatest product of each with one of the other block."""
+    block = table["block"].to_numpy()
+    sides = [table.filter(pa.array(block == b)) for b in (table["lo"][0].as_py(), table["hi"][0].as_py())]
+    sparse = []
+    for side in sides:
+        row, term = _flat(side["terms"])
+        w = pc.list_flatten(side["weights"]).to_numpy()
+        order = np.argsort(term, kind="stable")
+        sparse.append((row[order], term[order], w[order]))
+    sims = products(*sparse, len(sides[0]), len(sides[1]))
+    same = table["lo"][0].as_py() == table["hi"][0].as_py()
+    if same:
+        np.fill_diagonal(sims, 0.0)
+    found = [(sides[0], sims.max(axis=1, initial=0.0))] + ([] if same else [(sides[1], sims.max(axis=0, initial=0.0))])
+    return pa.concat_tables([pa.table([side["key"], side["copy"], pa.array(best)], names=["key", "copy", "max_sim"]) for side, best in found])
+
+
+def _in_pairs(placed: DataFrame) -> DataFrame:
+    """Every row (block of blocks) once for each block that its own meets: as lo and hi."""
+    sent = placed.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    return sent.withColumns({"lo": F.least("block", "other"), "hi": F.greatest("block", "other")}).drop("other", "blocks")
+
+
+def text_similarity(df: DataFrame, key: str, id_col: str, text_col: str = "text", most_terms: int = TERMS) -> DataFrame:
     """id and max_sim: cosine of TF-IDF vectors (weights fitted within the group) with the nearest other text of it; 0 if there is none."""
-    rows = df.select(F.col(key).alias("key"), F.col(id_col).alias("id"), F.md5(F.coalesce(text_col, F.lit(""))).alias("copy"), F.col(text_col).alias("text"))
-    sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
-    texts = rows.groupBy("key", "copy").agg(F.first("text").alias("text"), F.count(F.lit(1)).alias("copies")).join(sizes.filter("n > 1"), "key")
-    tf = texts.select("key", "copy", "copies", "n", F.explode(terms(F.col("text"))).alias("term")).groupBy("key", "copy", "copies", "n", "term").agg(F.count(F.lit(1)).alias("tf"))
+    rows = df.select(F.col(key).alias("key"), F.col(id_col).alias("id"), F.md5(F.coalesce(text_col, F.lit(""))).alias("copy"), F.coalesce(text_col, F.lit("")).alias("text"))
+    kind = f"key {rows.schema['key'].dataType.simpleString()}, copy string, max_sim double"
+    told = rows.groupBy("copy").agg(F.first("text").alias("text"))
+    told = told.select("copy", F.array_sort(F.transform(terms(F.col("text")), lambda t: F.xxhash64(t))).alias("terms"))
+    texts = rows.filter("key is not null").groupBy("key", "copy").agg(F.count(F.lit(1)).alias("copies"))
+    lengths = told.select("copy", F.size("terms").alias("size"))
+    sizes = texts.join(lengths, "copy").groupBy("key").agg(F.sum("copies").alias("n"), F.count(F.lit(1)).alias("texts"), F.sum("size").alias("size")).filter("n > 1")
+    sizes = sizes.select("key", "n", F.ceil(F.greatest(F.col("texts") / BLOCK, F.col("size") / most_terms, F.lit(1))).cast("int").alias("blocks"))
+    held = texts.join(sizes, "key").join(told, "copy")
+    small = held.filter("blocks = 1").select("key", "copy", "copies", "terms").groupBy("key").applyInArrow(_within, kind)
+
+    large = held.filter("blocks > 1")
+    tf = large.select("key", "copy", "copies", "n", F.explode("terms").alias("term")).groupBy("key", "copy", "copies", "n", "term").agg(F.count(F.lit(1)).alias("tf"))
     df_ = tf.groupBy("key", "term").agg(F.sum("copies").alias("df"), F.count(F.lit(1)).alias("holders"))
     weighted = tf.join(df_, ["key", "term"]).withColumn("w", F.col("tf") * (F.ln((1 + F.col("n")) / (1 + F.col("df"))) + 1))
-    norms = weighted.groupBy("key", "copy").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    unit = weighted.filter("holders > 1").join(norms, ["key", "copy"]).select("key", "term", "copy", (F.col("w") / F.col("norm")).alias("w"))
-    other = unit.select("key", "term", F.col("copy").alias("copy2"), F.col("w").alias("w2"))
-    pairs = unit.join(other, ["key", "term"]).filter("copy < copy2").groupBy("key", "copy", "copy2").agg(F.sum(F.col("w") * F.col("w2")).alias("sim"))
-    both = pairs.select("key", F.explode(F.array("copy", "copy2")).alias("copy"), "sim")
-    best = both.groupBy("key", "copy").agg(F.max("sim").alias("sim"))
-    with_terms = norms.select("key", "copy", F.lit(1.0).alias("_self"))
-    scored = texts.select("key", "copy", "copies").join(best, ["key", "copy"], "left").join(with_terms, ["key", "copy"], "left")
-    scored = scored.select("key", "copy", F.when(F.col("copies") > 1, F.coalesce("_self", F.lit(0.0))).otherwise(F.greatest(F.lit(0.0), F.coalesce("sim", F.lit(0.0)))).alias("max_sim"))
-    return rows.drop("text").join(scored, ["key", "copy"], "left").select(F.col("id").alias(id_col), F.coalesce("max_sim", F.lit(0.0)).alias("max_sim"))
+    norm = F.sqrt(F.sum(F.col("w") * F.col("w")))
+    several = F.col("holders") > 1
+    vectors = weighted.groupBy("key", "copy", "copies").agg(norm.alias("norm"), F.sort_array(F.collect_list(F.when(several, F.struct("term", "w")))).alias("v"))
+    blocks = F.pmod(F.xxhash64("copy"), F.col("blocks")).cast("int")
+    placed = vectors.join(sizes.select("key", "blocks"), "key").select("key", "copy", F.col("v.term").alias("terms"), F.transform("v.w", lambda x: x / F.col("norm")).alias("weights"), blocks.alias("block"), "blocks")
+    nearest = _in_pairs(placed).groupBy("key", "lo", "hi").applyInArrow(_between, kind).groupBy("key", "copy").agg(F.max("max_sim").alias("max_sim"))
+    copied = vectors.filter("copies > 1").select("key", "copy", F.lit(1.0).alias("_self"))
+    large_best = nearest.join(copied, ["key", "copy"], "left").select("key", "copy", F.coalesce("_self", "max_sim").alias("max_sim"))
+    best = small.union(large_best)
+    return rows.drop("text").join(best, ["key", "copy"], "left").select(F.col("id").alias(id_col), F.greatest(F.lit(0.0), F.coalesce("max_sim", F.lit(0.0))).alias("max_sim"))
 
 
 def vector_similarity(df: DataFrame, key: str, id_col: str, vector_col: str) -> DataFrame:
@@ -50,45 +149,47 @@ def vector_similarity(df: DataFrame, key: str, id_col: str, vector_col: str) ->
     rows = df.select(F.col(key).alias("key"), F.col(id_col).alias("id"), F.col(vector_col).alias("v"))
     sizes = rows.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
     placed = rows.join(sizes, "key").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    # block b meets every block once: as the left side of those not before it
-    sent = placed.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    sent = sent.select("key", "id", "v", "block", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"))
 
-    def nearest(pdf: pd.DataFrame) -> pd.DataFrame:
-        v = np.stack(pdf["v"].to_numpy()).astype(np.float64)
+    def nearest(table: pa.Table) -> pa.Table:
+        v = pc.list_flatten(table["v"]).to_numpy().astype(np.float64).reshape(len(table), -1)
         sims = v @ v.T
         np.fill_diagonal(sims, -np.inf)
-        block = pdf["block"].to_numpy()
-        if pdf["lo"].iloc[0] != pdf["hi"].iloc[0]:
+        block = table["block"].to_numpy()
+        if table["lo"][0].as_py() != table["hi"][0].as_py():
             sims[block[:, None] == block[None, :]] = -np.inf  # compared where the block meets itself
-        return pd.DataFrame({"id": pdf["id"], "sim": sims.max(axis=1)})
+        return pa.table([table["id"], pa.array(sims.max(axis=1))], names=["id", "sim"])
 
-    found = sent.groupBy("key", "lo", "hi").applyInPandas(nearest, f"id {df.schema[id_col].dataType.simpleString()}, sim double")
+    found = _in_pairs(placed).groupBy("key", "lo", "hi").applyInArrow(nearest, f"id {df.schema[id_col].dataType.simpleString()}, sim double")
     best = found.filter(F.col("sim") > F.lit(float("-inf"))).groupBy("id").agg(F.max("sim").alias("max_sim"))
     return rows.select("id").join(best, "id", "left").select(F.col("id").alias(id_col), F.coalesce("max_sim", F.lit(0.0)).alias("max_sim"))
 
 
 def hashed_embedding(df: DataFrame, text_col: str, size: int = 256) -> DataFrame:
-    """Adds embedding: a unit vector of hashed word counts, for use where no encoder is supplied."""
+    """Adds embedding: a unit vector of hashed word counts, for use where no encoder is supplied.
+
+    A word's hash names its place by the low bits and its sign by a high one. Words are hashed by Spark; numpy adds up a batch.
+    """
+    words = F.filter(F.split(F.lower(F.coalesce(text_col, F.lit(""))), r"\s+"), lambda w: w != "")
 
     def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for texts in batches:
-            out = []
-            for t in texts:
-                v = np.zeros(size)
-                for w in (t or "").lower().split():
-                    h = hash_word(w)
-                    v[h % size] += 1 if h >> 40 & 1 else -1
-                n = np.linalg.norm(v)
-                out.append((v / n if n else v).astype(np.float32).tolist())
-            yield pd.Series(out)
+        for hashes in batches:
+            sizes = hashes.map(len).to_numpy()
+            h = np.concatenate([*hashes, np.zeros(0, np.int64)]).astype(np.int64)
+            v = np.bincount(np.repeat(np.arange(len(sizes)), sizes) * size + h % size, 1.0 - 2 * (h >> 40 & 1), len(sizes) * size).reshape(-1, size)
+            norm = np.linalg.norm(v, axis=1, keepdims=True)
+            yield pd.Series(list((v / np.where(norm > 0, norm, 1)).astype(np.float32)))
 
-    return df.withColumn("embedding", F.pandas_udf(encode, "array<float>")(F.col(text_col)))
+    return df.withColumn("embedding", F.pandas_udf(encode, "array<float>")(F.transform(words, lambda w: F.xxhash64(w))))
 
 
-def hash_word(word: str) -> int:
-    h = 1469598103934665603
-    for b in word.encode():
-        h = (h ^ b) * 1099511628211 % (1 << 64)
-    return h
+def encoded(df: DataFrame, text_col: str, encoder=None) -> DataFrame:
+    """Adds embedding: by the encoder, a function of no arguments that a worker calls once and that gives a function from a list of texts to unit vectors; or hashed words."""
+    if encoder is None:
+        return hashed_embedding(df, text_col)
 
+    def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        model = encoder()
+        for texts in batches:
+            yield pd.Series(list(np.asarray(model([t or "" for t in texts]), np.float32)))
+
+    return df.withColumn("embedding", F.pandas_udf(encode, "array<float>")(F.col(text_col)))

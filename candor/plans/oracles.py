@@ -69,16 +69,39 @@ def _content(text: str, first_person: bool = True) -> str:
     return out
 
 
-_ENRICHED = f"""{_bursts("reviews")},
-copies as (select user_id, md5(coalesce(text, '')) as k, count(*) as n from texts group by 1, 2),
+def _flesch(text: str) -> str:
+    """Characters beyond ASCII become a digit where they are part of a word, else a space, so the pattern needs ASCII alone."""
+    ws = rf"regexp_extract_all(regexp_replace(regexp_replace(coalesce({text}, ''), '[^\x00-\x7F\p{{L}}\p{{M}}\p{{N}}\p{{Pc}}]', ' ', 'g'), '[^\x00-\x7F]', '0', 'g'), '\b[a-zA-Z'']+\b')"
+    groups = "len(regexp_extract_all(lower(x), '[aeiouy]+'))"
+    spoken = f"list_sum(list_transform({ws}, lambda x: greatest(1, {groups} - case when {groups} > 1 and lower(x) like '%e' then 1 else 0 end)))"
+    return f"case when len({ws}) = 0 then 0e0 else 206.835e0 - 1.015e0 * len({ws}) / greatest(1, len(regexp_extract_all(coalesce({text}, ''), '[.!?]'))) - 84.6e0 * {spoken} / len({ws}) end"
+
+
+_TERMS = r"list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))"
+
+#: The nearest other text of the same author: weights fitted within the author's reviews, texts alike folded into one.
+_COPIES = r"""
+told as (select k, hash(t) as t, count(*) as tf from (select k, unnest(""" + _TERMS + r""") as t from (select distinct md5(coalesce(text, '')) as k, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{M}\p{N}\p{Pc}]{2,}') as w from documents)) group by 1, 2),
+mine as (select user_id, review_id, md5(coalesce(text, '')) as k from texts),
+folded as (select user_id, k, count(*) as copies from mine group by 1, 2),
+many as (select user_id, count(*) as n from mine group by 1 having count(*) > 1),
+held as (select user_id, t, sum(copies) as df, count(*) as h from folded join many using (user_id) join told using (k) group by 1, 2),
+heavy as (select f.user_id, f.k, told.t, tf * (ln((1 + n) / (1e0 + df)) + 1) as x, h from folded f join many using (user_id) join told using (k) join held on held.user_id = f.user_id and held.t = told.t),
+lengths as (select user_id, k, sqrt(sum(x * x)) as l from heavy group by 1, 2),
+units as (select user_id, k, t, x / l as x from heavy join lengths using (user_id, k) where h > 1),
+best as (select user_id, k, max(s) as s from (select a.user_id, a.k, b.k as o, sum(a.x * b.x) as s from units a join units b on a.user_id = b.user_id and a.t = b.t and a.k <> b.k group by 1, 2, 3) group by 1, 2),
+copies as (select review_id, case when copies > 1 and l is not null then 1e0 when copies > 1 then 0e0 else greatest(0e0, coalesce(s, 0e0)) end as max_dup_sim from mine join folded using (user_id, k) left join lengths using (user_id, k) left join best using (user_id, k)),
+"""
+
+_ENRICHED = f"""{_bursts("reviews")},{_COPIES}
 gaps as ({_GAPS.replace("round(avg(g), 6)", "avg(g)").replace("round(stddev_samp(g), 6)", "stddev_samp(g)")}),
 weeks as ({_first_week("reviews", "users")}),
 enriched as (select r.user_id, r.business_id, r.review_id, r.stars, r.date, case when x.business_id is not null then 1 else 0 end::bigint as in_burst_window, b.stars as business_mean_stars, b.review_count as business_total_reviews,
   u.review_count as user_review_count, u.yelping_since, u.fans, u.average_stars as user_avg_stars, u.compliment_photos, gap_mean, gap_std, n_gaps, coalesce(first_week_count, 0) as first_week_count,
   date_diff('day', cast(u.yelping_since as date), cast(r.date as date)) as account_age_days_at_review, length(coalesce(text, ''))::bigint as text_len, len(regexp_extract_all(coalesce(text, ''), '!'))::bigint as exclamation_count,
-  case when length(coalesce(text, '')) = 0 then 0e0 else len(regexp_extract_all(text, '[A-Z]'))::double / length(text) end as caps_ratio, {_FRIENDS} as friend_count, case when c.n > 1 then 1e0 else 0e0 end as max_dup_sim
+  case when length(coalesce(text, '')) = 0 then 0e0 else len(regexp_extract_all(text, '[A-Z]'))::double / length(text) end as caps_ratio, {_FRIENDS} as friend_count, c.max_dup_sim
   from texts r left join businesses b on b.business_id = r.business_id left join users u on u.user_id = r.user_id left join bursts x on x.business_id = r.business_id and x.day = cast(r.date as date)
-  left join gaps on gaps.user_id = r.user_id left join weeks on weeks.user_id = r.user_id left join copies c on c.user_id = r.user_id and c.k = md5(coalesce(r.text, '')))
+  left join gaps on gaps.user_id = r.user_id left join weeks on weeks.user_id = r.user_id left join copies c on c.review_id = r.review_id)
 """
 
 
@@ -128,7 +151,6 @@ def _odds() -> str:
 
 
 _RANKED = "(select doc_id, quality as y, (doc_id * 37 % 101 + 20 * quality) / 121e0 as p, (doc_id * 13 % 11) / 10e0 as soft from labels)"
-_TERMS = r"list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))"
 _CLIPPED = "greatest(1e-6, least(1 - 1e-6, p))"
 
 
@@ -147,7 +169,7 @@ def oracles() -> dict[str, str]:
         "reviews_per_business": f" select count(*) as n_businesses, {_SPREAD} from (select business_id, count(*) as n from reviews group by 1)",
         "rating_distribution": " select stars, count(*) as n, round(100e0 * count(*) / sum(count(*)) over (), 1) as pct from reviews group by stars",
         "reviews_per_year": " select year(date)::bigint as year, count(*) as n from reviews group by 1",
-        "review_length": " select " + ", ".join(f"round(quantile_cont(length(text), {q}), 6) as p{round(100 * q)}" for q in (0.1, 0.5, 0.9, 0.99)) + ", round(avg(length(text)), 6) as mean from texts",
+        "review_length": " select " + ", ".join(f"round(quantile_cont(length(text), {q}), 6) as p{round(100 * q)}" for q in (0.5, 0.9, 0.99)) + ", min(length(text)) as min, max(length(text)) as max, round(avg(length(text)), 6) as mean from texts",
         "account_age_buckets": " select case when d < 30 then '0  <30d' when d < 180 then '1  30-180d' when d < 365 then '2  180-365d' when d < 1095 then '3  1-3y' else '4  >3y' end as account_age, count(*) as n_users, round(avg(review_count), 6) as avg_lifetime_reviews, round(median(review_count), 6) as median_lifetime_reviews from (select review_count, date_diff('day', cast(yelping_since as date), date '1996-06-01') as d from users) group by 1",
         "reviews_per_user_hist": " select least(n, 15)::bigint as reviews, count(*) as users from (select user_id, count(*) as n from reviews group by 1) group by 1",
         "metro_filter": _METRO + "select business_id, city, state from kept",
@@ -164,11 +186,8 @@ def oracles() -> dict[str, str]:
         "friend_count": f" select user_id, {_FRIENDS} as friend_count from users",
         "text_features": f" select doc_id, {_content('text')} from documents",
         "caps_excl_ratio": " select conv_id, turn, len(regexp_extract_all(coalesce(text, ''), '!'))::bigint as exclamation_count, case when length(coalesce(text, '')) = 0 then 0e0 else round(len(regexp_extract_all(text, '[A-Z]'))::double / length(text), 6) end as caps_ratio from conversations",
-        "flesch_ascii": r""",
-w as (select doc_id, text, regexp_extract_all(text, '\b[a-zA-Z'']+\b') as ws from documents),
-c as (select doc_id, len(ws)::double as n, greatest(1, len(regexp_extract_all(text, '[.!?]')))::double as ends,
-  coalesce(list_sum(list_transform(ws, lambda x: greatest(1, len(regexp_extract_all(lower(x), '[aeiouy]+')) - case when len(regexp_extract_all(lower(x), '[aeiouy]+')) > 1 and lower(x) like '%e' then 1 else 0 end))), 0)::double as syl from w)
-select doc_id, case when length(text) <> strlen(text) or text is null then null when n = 0 then 0e0 else round(206.835e0 - 1.015e0 * n / ends - 84.6e0 * syl / n, 6) end as flesch_reading_ease from c join documents using (doc_id)""",
+        "flesch": f" select doc_id, round({_flesch('text')}, 6) as flesch_reading_ease from documents",
+        "display_formats": " select b.business_id, round((stars - 0.2e0) * 2) / 2 as half_stars, format('{:.2f}', stars / 3) as rating, round(review_count / 64e0 * 100)::bigint || '%' as share, format('{:,}', review_count * 1000 + 7) as count, replace(categories, ', ', '|') as categories, coalesce(strftime(last, '%b %-d, %Y'), '—') as last_review from businesses b left join (select business_id, max(date) as last from reviews group by 1) l on l.business_id = b.business_id",
         "account_age_elapsed": " select review_id, date_sub('day', yelping_since, date) as days_elapsed, date_diff('day', cast(yelping_since as date), cast(date as date)) as days_crossed from reviews join users using (user_id)",
         "dup_text_max_sim": r""",
 ws as (select doc_id, source, regexp_extract_all(lower(text), '[\p{L}\p{M}\p{N}\p{Pc}]{2,}') as w from documents),
@@ -181,14 +200,15 @@ u as (select wt.source, wt.doc_id, t, x / l as x from wt join nm using (doc_id)
 p as (select a.doc_id, b.doc_id as o, sum(a.x * b.x) as s from u a join u b on a.source = b.source and a.t = b.t and a.doc_id <> b.doc_id group by 1, 2)
 select d.doc_id, round(coalesce(greatest(0, max(p.s)), 0), 5) as max_sim from documents d left join p on p.doc_id = d.doc_id group by d.doc_id""",
         "embedding_max_sim_label": " select a.vec_id, round(coalesce(max(list_dot_product(a.embedding::double[], b.embedding::double[])), 0), 5) as max_sim from embeddings a left join embeddings b on a.label = b.label and a.vec_id <> b.vec_id group by a.vec_id",
-        "enriched_reviews": _ENRICHED + "select * replace (round(gap_mean, 6) as gap_mean, round(gap_std, 6) as gap_std, round(caps_ratio, 6) as caps_ratio) from enriched",
+        "enriched_reviews": _ENRICHED + "select * replace (round(gap_mean, 6) as gap_mean, round(gap_std, 6) as gap_std, round(caps_ratio, 6) as caps_ratio, round(max_dup_sim, 6) as max_dup_sim) from enriched",
         "lf_votes": _VOTES + "select * from votes",
         "lf_coverage": _VOTES + " union all ".join(f"select '{c}' as lf, round(avg(({c} <> -1)::int), 6) as coverage, round(avg(({c} = 1)::int), 6) as suspicious_rate from votes" for c in NAMES),
         "lf_summary": _VOTES + _summary(),
         "majority_vote": _VOTES + f"select review_id, case when {_UP} > {_DOWN} then 1e0 when {_UP} < {_DOWN} then 0e0 else 0.5e0 end as p_suspicious from votes",
         "label_model_scores": _VOTES + f"select review_id, round(1 / (1 + exp(-({_odds()}))), 6) as p_suspicious from votes",
-        "feature_table": _bursts("reviews") + f", ctx as ({_CONTEXT}), own as ({_REVIEWER}), cnt as (select review_id, {_content('text', False)} from texts)"
-        " select r.review_id, r.user_id, r.business_id, r.stars, r.date, cnt.* exclude (review_id), ctx.* exclude (review_id), own.* exclude (user_id), date_sub('day', own.yelping_since, r.date) as account_age_days_at_review from reviews r left join ctx on ctx.review_id = r.review_id left join cnt on cnt.review_id = r.review_id left join own on own.user_id = r.user_id",
+        "feature_table": _bursts("reviews") + f", ctx as ({_CONTEXT}), own as ({_REVIEWER}), cnt as (select review_id, {_content('text')}, round(({_flesch('text')})::float::double, 6) as flesch_reading_ease from texts),"
+        + ", ".join(f" {n} as (select a.review_id, round(max(list_dot_product(a.v, b.v))::float::double, 6) as s from vectors a join vectors b on a.{k} = b.{k} and a.review_id <> b.review_id group by 1)" for n, k in (("own_sim", "user_id"), ("their_sim", "business_id")))
+        +        " select r.review_id, r.user_id, r.business_id, r.stars, r.date, cnt.* exclude (review_id), ctx.* exclude (review_id), own.* exclude (user_id), date_sub('day', own.yelping_since, r.date) as account_age_days_at_review, case when r.review_id in (select review_id from vectors) then coalesce(own_sim.s, 0) end as max_sim_to_user_history, case when r.review_id in (select review_id from vectors) then coalesce(their_sim.s, 0) end as max_sim_to_business_reviews from reviews r left join ctx on ctx.review_id = r.review_id left join cnt on cnt.review_id = r.review_id left join own on own.user_id = r.user_id left join own_sim on own_sim.review_id = r.review_id left join their_sim on their_sim.review_id = r.review_id",
         "time_split_counts": " select case when date < timestamp '1997-01-01' then 'train' else 'test' end as part, count(*) as n, sum(((review_id % 11) / 10e0 >= 0.5e0)::int)::bigint as positives from reviews group by 1",
         "roc_auc": f" select round((sum(case when y = 1 then r end) - count(*) filter (where y = 1) * (count(*) filter (where y = 1) + 1) / 2e0) / (count(*) filter (where y = 1) * count(*) filter (where y = 0)), 6) as roc_auc from (select y, rank() over (order by p) + (count(*) over (partition by p) - 1) / 2e0 as r from {_RANKED})",
         "average_precision": f" select round(sum(pos * (cp / cn)) / sum(pos), 6) as average_precision from (select pos, sum(pos) over (order by p desc)::double as cp, sum(n) over (order by p desc)::double as cn from (select p, sum(y) as pos, count(*) as n from {_RANKED} group by p))",

@@ -17,6 +17,7 @@ from candor.config import DEFAULT_METRO, get_metro
 from candor.operators import enrich, features, labeling, model, scoring, similarity
 from candor.plans import profile, reports
 from candor.sources import ingest as source
+from candor.sources.staging import written
 
 
 def _table(spark: SparkSession, root: str, name: str) -> DataFrame:
@@ -51,11 +52,11 @@ def label(spark: SparkSession, root: str) -> int:
     return n
 
 
-def build_features(spark: SparkSession, root: str, snapshot: str = profile.SNAPSHOT, sample: int | None = None, embed: bool = True) -> int:
+def build_features(spark: SparkSession, root: str, snapshot: str = profile.SNAPSHOT, sample: int | None = None, embed: bool = True, encoder=None) -> int:
     reviews, businesses, users = (_table(spark, root, n) for n in ("reviews", "businesses", "users"))
     vectors = None
     if embed:
-        source.refresh(similarity.hashed_embedding(reviews.select("review_id", "text"), "text").drop("text"), f"{root}/embeddings")
+        source.refresh(similarity.encoded(reviews.select("review_id", "text"), "text", encoder).drop("text"), f"{root}/embeddings")
         vectors = source.read_table(spark, f"{root}/embeddings")
     table = features.feature_table(reviews, businesses, users, snapshot, vectors)
     if sample is not None:
@@ -64,8 +65,9 @@ def build_features(spark: SparkSession, root: str, snapshot: str = profile.SNAPS
     return source.read_table(spark, f"{root}/features").count()
 
 
-def train(spark: SparkSession, root: str, trials: int = 8, split: str = features.SPLIT, tune_from: str = features.TUNE_FROM, settings: model.Settings | None = None) -> dict:
-    joined = features.join_labels(source.read_table(spark, f"{root}/features"), source.read_table(spark, f"{root}/labels")).persist()
+def train(spark: SparkSession, root: str, trials: int = model.TRIALS, split: str = features.SPLIT, tune_from: str = features.TUNE_FROM, settings: model.Settings | None = None) -> dict:
+    joined = features.join_labels(source.read_table(spark, f"{root}/features"), source.read_table(spark, f"{root}/labels"))
+    joined = written(joined, "labelled")
     past, later = features.time_split(joined, split)
     chosen = features.feature_columns([c for c in past.columns if c != "hard_label"])
     if settings is None:
@@ -77,7 +79,7 @@ def train(spark: SparkSession, root: str, trials: int = 8, split: str = features
     source.refresh(model.predict(joined, fitted).select("review_id", "p_fake"), f"{root}/predictions")
     gains = model.importances(fitted)
     source.refresh(spark.createDataFrame(gains, "feature string, gain_frac double, splits long"), f"{root}/importances")
-    metrics = model.evaluate(model.predict(later, fitted)).persist()
+    metrics = written(model.evaluate(model.predict(later, fitted)), "metrics")
     copied = later.join(source.read_table(spark, f"{root}/votes").select("review_id", (F.col("lf_duplicate_text") == labeling.SUSPICIOUS).cast("byte").alias("copied")), "review_id", "left")
     aucs = model.ablation(past, copied, chosen, settings).first()
     verdict = model.ablation_verdict(aucs["full_auc"] or 0.0, aucs["ablated_auc"] or 0.0)

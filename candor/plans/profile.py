@@ -53,7 +53,7 @@ def reviews_per_year(reviews: DataFrame) -> DataFrame:
 
 def review_length(texts: DataFrame) -> DataFrame:
     n = F.length("text")
-    return texts.agg(*[F.percentile(n, F.lit(q)).alias(f"p{round(100 * q)}") for q in (0.1, 0.5, 0.9, 0.99)], F.avg(n).alias("mean"))
+    return texts.agg(F.min(n).alias("min"), *[F.percentile(n, F.lit(q)).alias(f"p{round(100 * q)}") for q in (0.5, 0.9, 0.99)], F.max(n).alias("max"), F.avg(n).alias("mean"))
 
 
 def account_age_buckets(users: DataFrame, snapshot: str = SNAPSHOT) -> DataFrame:

@@ -11,7 +11,9 @@ from candor.config import Metro
 from candor.functions import stats, text
 from candor.operators import behaviour, enrich, features, labeling, metrics, model, scoring, similarity
 from candor.plans import profile, serving
+from candor.operators.signals import with_signals
 from candor.sources import adapters, ingest
+from candor.sources.staging import written
 
 SNAPSHOT = "1999-01-01"
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -190,13 +192,6 @@ def flesch(spark, d):
     return rounded(adapters.table(spark, d, "documents").select("doc_id", text.flesch(F.col("text")).alias("flesch_reading_ease")))
 
 
-@query
-def flesch_ascii(spark, d):
-    """Null for texts beyond ASCII, where engines differ on where a word ends; a test compares all texts with plain Python."""
-    plain = F.length("text") == F.octet_length("text")
-    return rounded(adapters.table(spark, d, "documents").select("doc_id", F.when(plain, text.flesch(F.col("text"))).alias("flesch_reading_ease")))
-
-
 @query
 def caps_excl_ratio(spark, d):
     docs, body = adapters.table(spark, d, "conversations"), F.coalesce("text", F.lit(""))
@@ -221,12 +216,14 @@ def embedding_max_sim_label(spark, d):
     return rounded(similarity.vector_similarity(adapters.table(spark, d, "embeddings"), "label", "vec_id", "embedding"), 5)
 
 
-def _enriched(spark: SparkSession, d: str) -> DataFrame:
-    """Copies of whole texts decide the similarity here, so the voting queries stay cheap to check."""
-    reviews = adapters.reviews(spark, d, text=True).withColumn("_copy", F.md5(F.coalesce("text", F.lit(""))))
-    copies = reviews.groupBy("user_id", "_copy").agg(F.count(F.lit(1)).alias("_n"))
-    out = enrich.enriched(reviews, adapters.businesses(spark, d), adapters.users(spark, d))
-    return out.join(copies, ["user_id", "_copy"], "left").withColumn("max_dup_sim", F.when(F.col("_n") > 1, 1.0).otherwise(0.0)).drop("_copy", "_n")
+def _reviews(spark: SparkSession, d: str) -> DataFrame:
+    """The reviews with their texts, written once: every family of signals reads them again."""
+    return written(adapters.reviews(spark, d, text=True), "reviews")
+
+
+def _enriched(spark: SparkSession, d: str, reviews: DataFrame | None = None) -> DataFrame:
+    reviews = _reviews(spark, d) if reviews is None else reviews
+    return enrich.with_copies(enrich.enriched(reviews, adapters.businesses(spark, d), adapters.users(spark, d)), reviews)
 
 
 @query
@@ -265,18 +262,19 @@ def label_model_scores(spark, d):
 
 @query
 def label_model_fitted(spark, d):
-    voted = labeling.votes(_enriched(spark, d))
+    voted = written(labeling.votes(_enriched(spark, d)), "votes")  # read once to fit and once to score
     return labeling.weak_labels(voted, labeling.fit_label_model(labeling.overlaps(voted)))
 
 
-def _features(spark: SparkSession, d: str) -> DataFrame:
-    return features.feature_table(adapters.reviews(spark, d, text=True), adapters.businesses(spark, d), adapters.users(spark, d), SNAPSHOT)
+def _features(spark: SparkSession, d: str, reviews: DataFrame | None = None) -> DataFrame:
+    reviews = _reviews(spark, d) if reviews is None else reviews
+    return features.feature_table(reviews, adapters.businesses(spark, d), adapters.users(spark, d), SNAPSHOT, adapters.review_embeddings(spark, d, reviews))
 
 
 @query
 def feature_table(spark, d):
-    """Without sentiment, readability and first person, which SQL cannot express alike."""
-    return rounded(_features(spark, d).drop(*features.SENTIMENT, "flesch_reading_ease", "first_person_ratio", "max_sim_to_user_history", "max_sim_to_business_reviews"))
+    """Without sentiment, whose scorer SQL cannot express."""
+    return rounded(_features(spark, d).drop(*features.SENTIMENT))
 
 
 @query
@@ -285,9 +283,11 @@ def feature_table_full(spark, d):
 
 
 def _labelled(spark: SparkSession, d: str) -> DataFrame:
-    """Features with the fixed model's labels: what training sees."""
-    voted = labeling.votes(_enriched(spark, d))
-    return features.join_labels(_features(spark, d), voted.select("review_id", FIXED_MODEL.probability().alias("p_suspicious")))
+    """Features with the fixed model's labels, and whether the rule on copied text found the review suspicious; written once."""
+    reviews = _reviews(spark, d)
+    voted = written(labeling.votes(_enriched(spark, d, reviews)), "votes")
+    joined = features.join_labels(written(_features(spark, d, reviews), "features"), voted.select("review_id", FIXED_MODEL.probability().alias("p_suspicious")))
+    return written(joined.join(voted.select("review_id", (F.col("lf_duplicate_text") == labeling.SUSPICIOUS).cast("byte").alias("copied")), "review_id"), "labelled")
 
 
 @query
@@ -338,9 +338,8 @@ SETTINGS = model.Settings(rounds=10, depth=3)
 
 
 def _trained(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, list[str], model.SoftModel]:
-    joined = _labelled(spark, d).persist()
-    train, test = features.time_split(joined, "1997-01-01")
-    chosen = features.feature_columns([c for c in joined.columns if c != "hard_label"])
+    train, test = features.time_split(_labelled(spark, d), "1997-01-01")
+    chosen = features.feature_columns([c for c in train.columns if c not in ("hard_label", "copied")])
     return train, test, chosen, model.fit(train, chosen, settings=SETTINGS)
 
 
@@ -371,8 +370,7 @@ def synthetic_injection(spark, d):
 @query
 def ablation(spark, d):
     train, test, chosen, _ = _trained(spark, d)
-    flagged = test.withColumn("copied", (F.col("char_length") % 7 == 0).cast("byte"))
-    return model.ablation(train, flagged, chosen, SETTINGS)
+    return model.ablation(train, test, chosen, SETTINGS)
 
 
 @query
@@ -382,6 +380,21 @@ def shap_topk(spark, d):
     return model.mean_contributions(model.explain(features.hash_sample(test, "review_id", 5000), fitted), chosen)
 
 
+@query
+def top_signals(spark, d):
+    """The strongest reasons of 200 reviews in words."""
+    _, test, _, fitted = _trained(spark, d)
+    return with_signals(features.hash_sample(test, "review_id", 200), fitted).select("review_id", "signals")
+
+
+@query
+def business_reviews_signals(spark, d):
+    """A page of reviews with texts and reasons."""
+    train, test, _, fitted = _trained(spark, d)
+    table = train.unionByName(test)
+    return serving.review_page_signals(adapters.businesses(spark, d), adapters.reviews(spark, d, text=True), model.predict(table, fitted), 7, table, fitted, 20, 5)
+
+
 @query
 def search_businesses(spark, d):
     return rounded(serving.search_businesses(adapters.businesses(spark, d), _scores(spark, d), "SUPPLIER#0", "city3"))
@@ -399,6 +412,15 @@ def business_reviews_page(spark, d):
     return serving.review_page(adapters.businesses(spark, d), reviews, p, 7, 20, 5).drop("text")
 
 
+@query
+def display_formats(spark, d):
+    """Numbers and dates as a page shows them."""
+    b, r = adapters.businesses(spark, d), adapters.reviews(spark, d)
+    shown = b.select("business_id", stats.half_stars(F.col("stars") - 0.2).alias("half_stars"), stats.shown_rating(F.col("stars") / 3).alias("rating"), stats.shown_share(F.col("review_count") / 64.0).alias("share"), stats.shown_count(F.col("review_count") * 1000 + 7).alias("count"), F.array_join(text.category_list(F.col("categories")), "|").alias("categories"))
+    last = r.groupBy("business_id").agg(F.max("date").alias("last"))
+    return shown.join(last, "business_id", "left").select("*", stats.shown_date(F.col("last")).alias("last_review")).drop("last")
+
+
 @query
 def audit_snippets(spark, d):
     docs = adapters.table(spark, d, "documents").orderBy(F.desc("n_chars"), "doc_id").limit(100)

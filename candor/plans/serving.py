@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from candor.operators.model import SoftModel, explain
-from candor.operators.signals import top_signals
+from candor.operators.model import SoftModel
+from candor.operators.signals import with_signals
 
 # The bounds of the requests.
 SEARCH_LIMIT, SEARCH_MOST = 20, 100
@@ -64,18 +64,21 @@ def review_page(businesses: DataFrame, reviews: DataFrame, predictions: DataFram
     return own.join(predictions.select("review_id", "p_fake"), "review_id", "left").select("review_id", "stars", F.date_format("date", "yyyy-MM-dd'T'HH:mm:ss").alias("date"), "text", "p_fake").orderBy(F.desc("date"), "review_id")
 
 
+def review_page_signals(businesses: DataFrame, reviews: DataFrame, predictions: DataFrame, business_id, features: DataFrame, model: SoftModel, limit: int = PAGE_LIMIT, offset: int = 0) -> DataFrame:
+    """The page with the signals of each review, in one plan; none where a review has no features."""
+    page = review_page(businesses, reviews, predictions, business_id, limit, offset)
+    rows = features.join(F.broadcast(page.select("review_id")), "review_id", "left_semi")  # at most PAGE_MOST ids
+    told = with_signals(rows, model).select("review_id", "signals")
+    return page.join(told, "review_id", "left").withColumn("signals", F.coalesce("signals", F.array().cast("array<string>"))).orderBy(F.desc("date"), "review_id")
+
+
 def review_page_json(businesses: DataFrame, reviews: DataFrame, predictions: DataFrame, business_id, features: DataFrame | None = None, model: SoftModel | None = None, include_flags: bool = True, limit: int = PAGE_LIMIT, offset: int = 0) -> list[dict]:
     """The page as dictionaries, with the signals of each review when they are asked for. At most PAGE_MOST rows."""
-    page = [r.asDict() for r in review_page(businesses, reviews, predictions, business_id, limit, offset).collect()]
-    signals: dict = {}
-    if include_flags and features is not None and model is not None and page:
-        rows = features.filter(F.col("review_id").isin([r["review_id"] for r in page]))
-        told = {r["review_id"]: r["contributions"] for r in explain(rows, model).collect()}
-        for r in rows.collect():
-            values = [float(r[c]) if r[c] is not None else float("nan") for c in model.features]
-            shown = [c if v == v else 0.0 for c, v in zip(told[r["review_id"]], values, strict=True)]
-            signals[r["review_id"]] = top_signals(model.features, values, shown)
-    return [r | {"signals": signals.get(r["review_id"], [])} for r in page]
+    if include_flags and features is not None and model is not None:
+        page = review_page_signals(businesses, reviews, predictions, business_id, features, model, limit, offset)
+    else:
+        page = review_page(businesses, reviews, predictions, business_id, limit, offset).withColumn("signals", F.array().cast("array<string>"))
+    return [r.asDict() for r in page.collect()]
 
 
 def latest_metro(spark: SparkSession, meta: DataFrame) -> str:

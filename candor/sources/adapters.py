@@ -43,6 +43,13 @@ def reviews(spark: SparkSession, sf_dir: str, text: bool = False) -> DataFrame:
     return found.join(documents, F.col("review_id") % n == F.col("doc_id"), "left").drop("doc_id")
 
 
+def review_embeddings(spark: SparkSession, sf_dir: str, reviews: DataFrame) -> DataFrame:
+    """A supplied unit vector for each review."""
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    n = max(vectors.count(), 1)
+    return reviews.select("review_id").join(vectors, F.col("review_id") % n == F.col("vec_id")).drop("vec_id")
+
+
 def event_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
     kinds = {"error": 1.0, "view": 3.0, "click": 4.0, "purchase": 5.0}
     stars = F.lit(2.0)
@@ -69,6 +76,7 @@ reviews as (select o_orderkey as review_id, o_custkey as user_id, l.sk as busine
   cast(o_orderdate as timestamp) + cast(cast(round(o_totalprice * 100) as bigint) % 86400 as int) * interval '1' second as date
   from orders join (select l_orderkey, min(l_suppkey) as sk from lineitem group by l_orderkey) l on o_orderkey = l.l_orderkey),
 texts as (select r.*, d.text from reviews r left join documents d on d.doc_id = r.review_id % (select count(*) from documents)),
+vectors as (select r.review_id, r.user_id, r.business_id, e.embedding::double[] as v from reviews r join embeddings e on e.vec_id = r.review_id % (select count(*) from embeddings)),
 event_reviews as (select event_id as review_id, user_id, cast(json_extract_string(props, '$.k') as bigint) as business_id,
   case event_type when 'error' then 1.0e0 when 'view' then 3.0e0 when 'click' then 4.0e0 when 'purchase' then 5.0e0 else 2.0e0 end as stars, cast(ts as timestamp) as date from events),
 event_users as (select user_id, min(date) as yelping_since from event_reviews group by user_id),

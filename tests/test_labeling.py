@@ -3,35 +3,47 @@ from datetime import datetime
 import numpy as np
 import pytest
 
-from candor.operators import labeling
+from candor.operators import labeling, similarity
 from candor.operators.similarity import text_similarity, vector_similarity
 
-BASE = {
-    "review_id": "R", "user_id": "U", "business_id": "B", "stars": 4.0, "business_mean_stars": 4.0, "business_total_reviews": 100, "user_review_count": 20, "fans": 10, "user_avg_stars": 4.0, "compliment_photos": 2,
-    "account_age_days_at_review": 1000, "in_burst_window": 0, "gap_std": 30.0, "gap_mean": 60.0, "n_gaps": 10, "first_week_count": 1, "text_len": 25, "exclamation_count": 0, "caps_ratio": 0.05, "friend_count": 26, "max_dup_sim": 0.1,
+#: A review about which every rule is silent.
+SILENT = {
+    "review_id": "x", "user_id": "ann", "business_id": "cafe", "stars": 3.0, "business_mean_stars": 3.8, "user_avg_stars": 3.2, "business_total_reviews": 7, "user_review_count": 6, "in_burst_window": 0,
+    "gap_mean": 12.0, "gap_std": 3.6, "n_gaps": 8, "max_dup_sim": 0.55, "text_len": 340, "exclamation_count": 1, "caps_ratio": 0.03, "account_age_days_at_review": 190, "friend_count": 9, "fans": 2, "compliment_photos": 0, "first_week_count": 3,
 }
-SCHEMA = "review_id string, user_id string, business_id string, stars double, business_mean_stars double, business_total_reviews long, user_review_count long, fans long, user_avg_stars double, compliment_photos long, account_age_days_at_review int, in_burst_window int, gap_std double, gap_mean double, n_gaps long, first_week_count long, text_len int, exclamation_count int, caps_ratio double, friend_count int, max_dup_sim double"
-
-CASES = {
-    "lf_burst": [({"in_burst_window": 1}, 1), ({"business_total_reviews": 50}, 0), ({"business_total_reviews": 2}, -1), ({"business_total_reviews": 20}, 0), ({"business_total_reviews": None}, -1)],
-    "lf_one_shot_extreme": [({"user_review_count": 1, "stars": 5.0}, 1), ({"user_review_count": 2, "stars": 1.0}, 1), ({"user_review_count": 50, "stars": 5.0}, 0), ({"user_review_count": 5, "stars": 5.0}, -1), ({"user_review_count": None, "stars": 5.0}, -1)],
-    "lf_rating_deviation": [({"stars": 1.0}, 1), ({"stars": 4.0}, 0), ({"stars": 3.0}, -1), ({"stars": 1.0, "user_avg_stars": None}, -1)],
-    "lf_temporal_regularity": [({"gap_std": 0.5}, 1), ({"gap_std": 60.0}, 0), ({"gap_std": 1.0, "n_gaps": 1}, -1), ({"gap_std": 0.0, "gap_mean": 0.0}, 0), ({"gap_std": None, "gap_mean": None, "n_gaps": None}, -1)],
-    "lf_duplicate_text": [({"max_dup_sim": 0.95}, 1), ({"max_dup_sim": 0.05, "user_review_count": 10}, 0), ({"max_dup_sim": 0.5}, -1), ({"max_dup_sim": 0.9}, -1), ({"max_dup_sim": 0.05, "user_review_count": 4}, -1)],
-    "lf_template_text": [({"stars": 5.0, "text_len": 40, "exclamation_count": 5, "caps_ratio": 0.1}, 1), ({"text_len": 900}, 0), ({"stars": 5.0, "text_len": 300}, -1), ({"stars": 1.0, "text_len": 199, "caps_ratio": 0.3}, 1), ({"stars": 3.0, "text_len": 40, "exclamation_count": 5}, -1)],
-    "lf_extreme_brevity": [({"stars": 5.0, "text_len": 8}, 1), ({"stars": 5.0, "text_len": 400}, 0), ({"stars": 5.0, "text_len": 80}, -1), ({"stars": 3.0, "text_len": 8}, -1), ({"stars": 5.0, "text_len": 19}, 1), ({"stars": 5.0, "text_len": 20}, -1), ({"stars": 5.0, "text_len": 200}, -1), ({"stars": 5.0, "text_len": 201}, 0)],
-    "lf_new_account": [({"account_age_days_at_review": 10}, 1), ({"account_age_days_at_review": 1000}, 0), ({"account_age_days_at_review": 120}, -1), ({"account_age_days_at_review": None}, -1)],
-    "lf_no_social": [({"friend_count": 0, "fans": 0, "compliment_photos": 0}, 1), ({"friend_count": 50}, 0), ({"friend_count": 3, "fans": 1, "compliment_photos": 1}, -1), ({"friend_count": 0, "fans": None, "compliment_photos": None}, -1)],
-    "lf_account_burst": [({"first_week_count": 10}, 1), ({"first_week_count": 0}, 0), ({"first_week_count": 3}, -1), ({"first_week_count": 6}, 1), ({"first_week_count": 5}, -1)],
-}
-
-
-def test_every_rule(spark):
-    assert sorted(CASES) == sorted(labeling.NAMES) and len(labeling.NAMES) == 10
-    rows = [(name, i, BASE | change | {"review_id": f"{name}/{i}"}, want) for name, cases in CASES.items() for i, (change, want) in enumerate(cases)]
-    columns = [f.split()[0] for f in SCHEMA.split(", ")]
-    voted = {r.review_id: r for r in labeling.votes(spark.createDataFrame([tuple(r[c] for c in columns) for _, _, r, _ in rows], SCHEMA)).collect()}
-    assert {(n, i): voted[f"{n}/{i}"][n] for n, i, *_ in rows} == {(n, i): want for n, i, _, want in rows}
+KINDS = {str: "string", float: "double", int: "long"}
+SCHEMA = ", ".join(f"{name} {KINDS[type(value)]}" for name, value in SILENT.items())
+
+#: By rule: what is changed, on both sides of each threshold, and the vote.
+EDGES = {
+    "lf_burst": "in_burst_window=1 : 1 | business_total_reviews=20 : 0 | business_total_reviews=19 : -1 | business_total_reviews=None : -1 | in_burst_window=1 business_total_reviews=None : 1",
+    "lf_one_shot_extreme": "user_review_count=2 stars=1.0 : 1 | user_review_count=2 stars=5.0 : 1 | user_review_count=2 stars=4.0 : -1 | user_review_count=3 stars=1.0 : -1 | user_review_count=10 : 0 | user_review_count=9 : -1 | user_review_count=None stars=1.0 : -1",
+    "lf_rating_deviation": "business_mean_stars=5.0 user_avg_stars=5.0 : -1 | stars=2.0 business_mean_stars=4.5 user_avg_stars=4.25 : 1 | stars=2.0 business_mean_stars=4.5 user_avg_stars=4.0 : -1 | business_mean_stars=3.4 : 0 | business_mean_stars=3.5 : -1 | business_mean_stars=None : -1",
+    "lf_temporal_regularity": "gap_std=1.0 : 1 | gap_std=1.25 : -1 | gap_std=6.0 : -1 | gap_std=6.1 : 0 | gap_std=1.0 n_gaps=3 : 1 | gap_std=1.0 n_gaps=2 : -1 | gap_mean=0.0 gap_std=0.0 : 0 | gap_mean=None gap_std=None n_gaps=None : -1",
+    "lf_duplicate_text": "max_dup_sim=0.91 : 1 | max_dup_sim=0.9 : -1 | max_dup_sim=0.29 user_review_count=5 : 0 | max_dup_sim=0.29 user_review_count=4 : -1 | max_dup_sim=0.3 : -1 | max_dup_sim=None : -1",
+    "lf_template_text": "text_len=199 exclamation_count=3 stars=5.0 : 1 | text_len=199 caps_ratio=0.21 stars=1.0 : 1 | text_len=199 caps_ratio=0.2 stars=1.0 : -1 | text_len=200 exclamation_count=3 stars=5.0 : -1 | text_len=199 exclamation_count=3 : -1 | text_len=501 : 0 | text_len=500 : -1",
+    "lf_extreme_brevity": "text_len=19 stars=5.0 : 1 | text_len=20 stars=5.0 : -1 | text_len=200 stars=5.0 : -1 | text_len=201 stars=5.0 : 0 | text_len=19 stars=4.0 : -1",
+    "lf_new_account": "account_age_days_at_review=29 : 1 | account_age_days_at_review=30 : -1 | account_age_days_at_review=365 : -1 | account_age_days_at_review=366 : 0 | account_age_days_at_review=None : -1",
+    "lf_no_social": "friend_count=0 fans=0 : 1 | friend_count=0 fans=0 compliment_photos=1 : -1 | fans=5 : 0 | friend_count=20 : 0 | friend_count=19 fans=4 : -1 | friend_count=0 fans=None : -1",
+    "lf_account_burst": "first_week_count=6 : 1 | first_week_count=5 : -1 | first_week_count=2 : -1 | first_week_count=1 : 0 | first_week_count=None : -1",
+}
+
+
+def read(case):
+    changes, vote = case.rsplit(":", 1)
+    return dict((k, eval(v)) for k, v in (x.split("=") for x in changes.split())), int(vote)
+
+
+def test_every_rule_at_its_thresholds(spark):
+    assert set(EDGES) == set(labeling.NAMES) and len(labeling.NAMES) == 10
+    rows, wanted = [tuple(SILENT.values())], {"x": dict.fromkeys(labeling.NAMES, -1)}
+    for rule, cases in EDGES.items():
+        for n, (changes, vote) in enumerate(map(read, cases.split("|"))):
+            wanted[f"{rule} {n}"] = {rule: vote}
+            rows.append(tuple((SILENT | changes | {"review_id": f"{rule} {n}"}).values()))
+    for voted in labeling.votes(spark.createDataFrame(rows, SCHEMA)).collect():
+        for rule, vote in wanted[voted.review_id].items():
+            assert voted[rule] == vote, (voted.review_id, rule)
 
 
 def votes_frame(spark, rows):
@@ -67,15 +79,43 @@ def test_label_model_recovers_planted_accuracies(spark):
     assert np.allclose(labeling.overlaps(votes_frame(spark, voted[:500].tolist())), hot[:500].T @ hot[:500] / 500)
 
 
-def test_near_duplicates(spark):
-    rows = [("U1", 1, "great food and friendly service here"), ("U1", 2, "great food and friendly service today"), ("U2", 3, "great food and friendly service here"), ("U3", 4, None), ("U3", 5, "!!"), ("U4", 6, "same words"), ("U4", 7, "same words"), ("U5", 8, "one two"), ("U5", 9, "three four")]
-    out = {r.i: r.max_sim for r in text_similarity(spark.createDataFrame(rows, "u string, i long, text string"), "u", "i").collect()}
-    assert out[1] == pytest.approx(out[2]) and out[1] > 0.6 and out[3] == out[4] == out[5] == out[8] == 0 and out[6] == out[7] == 1
+def nearest(texts):
+    """The greatest cosine of TF-IDF vectors, with dictionaries."""
+    import math
+    import re
+    from collections import Counter
 
+    words = [re.findall(r"\b\w\w+\b", (t or "").lower()) for t in texts]
+    tf = [Counter(w) + Counter(zip(w, w[1:])) for w in words]
+    df = Counter(t for c in tf for t in c)
+    v = [{t: k * (math.log((1 + len(texts)) / (1 + df[t])) + 1) for t, k in c.items()} for c in tf]
+    norm = [math.sqrt(sum(x * x for x in u.values())) or 1.0 for u in v]
+    cos = lambda i, j: sum(x * v[j].get(t, 0.0) for t, x in v[i].items()) / norm[i] / norm[j]
+    return [max([0.0, *(cos(i, j) for j in range(len(texts)) if j != i)]) for i in range(len(texts))]
 
-def test_vector_similarity(spark, monkeypatch):
-    from candor.operators import similarity
 
+def test_text_similarity_of_whole_and_of_cut_groups(spark):
+    rng = np.random.default_rng(7)
+    words = [f"wörd{i}" for i in range(30)]
+    groups = {k: [" ".join(rng.choice(words, rng.integers(0, 25))) for _ in range(n)] for k, n in (("ann", 60), ("bob", 9), ("one", 1))}
+    groups["ann"] += groups["ann"][:5] + ["", ".", "the same " * 40]
+    groups["bob"].append(None)
+    rows = [(k, 100 * i + j, t) for i, (k, texts) in enumerate(groups.items()) for j, t in enumerate(texts)]
+    frame = spark.createDataFrame(rows, "k string, i long, text string")
+    want = {100 * i + j: s for i, texts in enumerate(groups.values()) for j, s in enumerate(nearest(texts))}
+    for most in (1 << 21, 150):  # each group by itself, and in blocks
+        out = {r.i: r.max_sim for r in text_similarity(frame, "k", "i", most_terms=most).collect()}
+        assert out.keys() == want.keys() and all(out[i] == pytest.approx(want[i], abs=1e-9) for i in want)
+
+
+def test_products_by_columns_and_by_holders():
+    rng = np.random.default_rng(3)
+    a, b = (np.where(rng.random((n, 50)) < rng.random(50) ** 3, rng.random((n, 50)), 0) for n in (150, 90))
+    sparse = lambda m: (lambda t, r: (r, t, m[r, t]))(*np.nonzero(m.T))
+    assert np.allclose(similarity.products(sparse(a), sparse(b), 150, 90), a @ b.T)
+
+
+def test_vector_similarity(spark, monkeypatch):
     rows = [("A", 1, [1.0, 0.0]), ("A", 2, [1.0, 0.0]), ("B", 3, [1.0, 0.0]), ("B", 4, [0.0, 1.0]), ("C", 5, [1.0, 0.0]), ("D", 6, [1.0, 0.0]), ("D", 7, [-1.0, 0.0])]
     frame = spark.createDataFrame(rows, "k string, i long, v array<double>")
     want = {1: 1, 2: 1, 3: 0, 4: 0, 5: 0, 6: -1, 7: -1}
@@ -89,6 +129,14 @@ def test_vector_similarity(spark, monkeypatch):
     assert np.allclose([r.max_sim for r in out.orderBy("i").collect()], sims.max(axis=1))
 
 
+def test_embeddings(spark):
+    frame = spark.createDataFrame([(1, "good good food"), (2, None), (3, " "), (4, "food good good")], "i long, text string")
+    out = {r.i: np.array(r.embedding) for r in similarity.encoded(frame, "text").collect()}
+    assert np.allclose(np.linalg.norm(out[1]), 1) and not out[2].any() and not out[3].any() and np.allclose(out[1], out[4]) and np.count_nonzero(out[1]) == 2
+    given = similarity.encoded(frame, "text", lambda: lambda texts: [[len(t), 1.0] for t in texts]).collect()
+    assert {r.i: list(r.embedding) for r in given} == {1: [14, 1], 2: [0, 1], 3: [1, 1], 4: [14, 1]}
+
+
 def test_dates(spark):
     from candor.functions import stats
 
@@ -96,3 +144,24 @@ def test_dates(spark):
     f = stats.F
     out = spark.createDataFrame(rows, "a timestamp, b timestamp").select(stats.days_crossed(f.col("a"), f.col("b")), stats.days_elapsed(f.col("a"), f.col("b"))).collect()
     assert [tuple(r) for r in out] == [(1, 0), (10, 10), (-4, -3)]
+
+
+def test_shown_values(spark):
+    from candor.functions import stats, text
+
+    f = stats.F
+    frame = spark.createDataFrame([(4.24, 0.125, 1234567, datetime(2020, 1, 2), "Bars, Food,, Tea"), (None,) * 5], "r double, s double, n long, d timestamp, c string")
+    shown = frame.select(stats.half_stars(f.col("r")), stats.shown_rating(f.col("r")), stats.shown_share(f.col("s")), stats.shown_count(f.col("n")), stats.shown_date(f.col("d")), text.category_list(f.col("c"), 2))
+    assert [tuple(r) for r in shown.collect()] == [(4.0, "4.24", "13%", "1,234,567", "Jan 2, 2020", ["Bars", "Food"]), (None, "—", "—", "—", "—", None)]
+
+
+def test_exact_quantiles(spark):
+    from candor.operators.metrics import exact_quantiles
+
+    rng = np.random.default_rng(5)
+    values = [*rng.random(500).tolist(), *[0.25] * 300, 0.0, 1.0, 1.7]
+    frame = spark.createDataFrame([(v,) for v in values] + [(None,)], "x double")
+    shares = {"a": 0.0, "b": 0.05, "c": 0.5, "d": 0.99, "e": 1.0}
+    got = exact_quantiles(frame, "x", shares).first()
+    assert all(got[k] == pytest.approx(np.quantile(values, q)) for k, q in shares.items())
+    assert exact_quantiles(frame.filter("x is null"), "x", shares).first().c is None
