@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-import functools
-import re
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from candor.sources.staging import new_path as new_path
+from candor.sources.staging import shared_dir as shared_dir
+from candor.sources.staging import written as written
+
 #: A side of a join is broadcast only if its counted rows need at most this many bytes.
 BROADCAST_BYTES = 32 * 1024 * 1024
 
@@ -18,7 +18,6 @@ BROADCAST_BYTES = 32 * 1024 * 1024
 SPACE_CLASS = r"\x20\x09-\x0D"
 WORD = rf"[^{SPACE_CLASS}]+"
 
-_SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -26,46 +25,6 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-@functools.cache
-def _own_dir() -> str:
-    return f"file://{tempfile.mkdtemp(prefix='candor-')}"
-
-
-class NoSharedFolder(RuntimeError):
-    pass
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or where it is unset and Spark runs in this process alone, a local one."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found and re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
-        found = _own_dir()
-    if not found:
-        raise NoSharedFolder("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(found)
-    return found.rstrip("/")
-
-
-def new_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, label: str) -> DataFrame:
-    """The frame as a Parquet table in the shared folder: computed once, and kept if an executor is lost.
-
-    Nothing else reads the shuffle files of the write, so they go with its end and not when the driver's memory is tidied.
-    """
-    spark, path = df.sparkSession, new_path(df.sparkSession, label)
-    before = spark.conf.get(_SHUFFLE_CLEANUP, None)
-    spark.conf.set(_SHUFFLE_CLEANUP, "true")
-    try:
-        df.write.parquet(path)
-    finally:
-        spark.conf.unset(_SHUFFLE_CLEANUP) if before is None else spark.conf.set(_SHUFFLE_CLEANUP, before)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def sized_broadcast(df: DataFrame, row_bytes: int, more: Column | None = None, limit: int = BROADCAST_BYTES) -> DataFrame:
     """Marks the frame for broadcast if its rows, and `more` bytes of each, are counted and fit the limit; else Spark shuffles it."""
     rows, extra = df.agg(F.count(F.lit(1)), F.sum(more) if more is not None else F.lit(0)).first()
