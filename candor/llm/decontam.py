@@ -37,7 +37,7 @@ def _folded(words: Column) -> Column:
     return F.transform(words, lambda w: F.hash(F.lower(w)))
 
 
-def _starts(n: Column, length: int) -> Column:
+def _starts(n: Column, length: Column) -> Column:
     return F.when(n >= length, F.sequence(F.lit(1), n - length + 1)).otherwise(F.array().cast("array<int>"))
 
 
@@ -64,13 +64,10 @@ def find_hits(texts: DataFrame, items: DataFrame, *, window: int = WINDOW, id_co
     occurrences = written(benchmark_windows(items, window=window, id_col=id_col, text_col=item_text_col), "windows")
     lengths = sorted(r[0] for r in occurrences.select("n").distinct().collect())  # at most `window` numbers
     hashes = sized_broadcast(occurrences.select("hash").distinct(), 24)
-    scans = []
-    for length in lengths or [window]:
-        rolled = computed(texts.select("key", "folded"), rolled=F.transform(_starts(F.size("folded"), length), lambda p: F.xxhash64(F.slice("folded", p, length)))).drop("folded")
-        scans.append(rolled.select("key", F.posexplode("rolled").alias("p", "hash")).join(hashes, "hash").select("key", (F.col("p") + 1).alias("p"), F.lit(length).alias("n"), "hash"))
-    found = scans[0]
-    for more in scans[1:]:
-        found = found.union(more)
+    # the texts are read once, and each is gone through for every length in turn
+    scans = texts.select("key", "folded", F.explode(F.array(*[F.lit(n) for n in lengths or [window]])).alias("n"))
+    rolled = computed(scans, rolled=F.transform(_starts(F.size("folded"), F.col("n")), lambda p: F.xxhash64(F.slice("folded", p, F.col("n"))))).drop("folded")
+    found = rolled.select("key", "n", F.posexplode("rolled").alias("p", "hash")).join(hashes, "hash").select("key", (F.col("p") + 1).alias("p"), "n", "hash")
     found = written(found.groupBy("key").agg(F.collect_set(F.struct("p", "n", "hash")).alias("at")), "hits")  # at most a text's own windows
     # exact words of the hits; lower_ascii is applied to texts with hits only
     with_text = texts.select("key", "text").join(sized_broadcast(found, 60, F.size("at") * 32), "key")
