@@ -44,10 +44,13 @@ def _hash(line: Column) -> Column:
     return F.when(_trimmed(line) != "", F.xxhash64(_trimmed(line)))
 
 
-def exploded(docs: DataFrame, id_col: str, text_col: str, *more: Column) -> DataFrame:
-    own = computed(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("_text"), *more), hashes=F.array_distinct(F.transform(_lines(F.col("_text")), _hash)))
+def exploded(docs: DataFrame, id_col: str, text_col: str, *more: Column, places: bool = False) -> DataFrame:
+    """A row for each line hash of a text; with places one for each line, with its number from 0 as at."""
+    hashes = F.transform(_lines(F.col("_text")), _hash)
+    own = computed(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("_text"), *more), hashes=hashes if places else F.array_distinct(hashes))
     own = computed(own, key=text_key(F.col("_text"))).drop("_text")
-    return own.select("id", "key", *[c for c in own.columns if c not in ("id", "key", "hashes")], F.explode("hashes").alias("hash")).filter("hash is not null")
+    each = F.posexplode("hashes").alias("at", "hash") if places else F.explode("hashes").alias("hash")
+    return own.select("id", "key", *[c for c in own.columns if c not in ("id", "key", "hashes")], each).filter("hash is not null")
 
 
 def boilerplate(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source", min_sites: int = MIN_SITES, log_k: int = LOG_K) -> DataFrame:
@@ -67,15 +70,17 @@ def boilerplate(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
 def drop_boilerplate(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source", min_sites: int = MIN_SITES, log_k: int = LOG_K) -> DataFrame:
     """The documents with cleaned texts, n_lines and n_removed."""
     bad = written(boilerplate(docs, id_col=id_col, text_col=text_col, site_col=site_col, min_sites=min_sites, log_k=log_k).select("hash", "keeper"), "boilerplate")
-    hits = exploded(docs, id_col, text_col).join(sized_broadcast(bad, 40), "hash").filter(~F.col("id").eqNullSafe(F.col("keeper")))
-    key, gone, fkey, fid = (fresh(docs.columns, f"_line_{n}") for n in ("key", "gone", "found_key", "found_id"))
+    hits = exploded(docs, id_col, text_col, places=True).join(sized_broadcast(bad, 40), "hash").filter(~F.col("id").eqNullSafe(F.col("keeper")))
+    key, gone, fkey, fid, left = (fresh(docs.columns, f"_line_{n}") for n in ("key", "gone", "found_key", "found_id", "left"))
     # rows alike in id and text have the same lines; the set is at most one text's lines
-    hits = written(hits.groupBy("id", "key").agg(F.collect_set("hash").alias(gone)).select(F.col("id").alias(fid), F.col("key").alias(fkey), gone), "line-hits")
+    hits = written(hits.groupBy("id", "key").agg(F.collect_set("at").alias(gone)).select(F.col("id").alias(fid), F.col("key").alias(fkey), gone), "line-hits")
     keyed = computed(docs, **{key: text_key(F.col(text_col))})
-    found = keyed.join(sized_broadcast(hits, 80, F.size(gone) * 8), keyed[id_col].eqNullSafe(hits[fid]) & (keyed[key] == hits[fkey]), "left")
-    left = F.filter(_lines(F.col(text_col)), lambda x: ~F.coalesce(F.array_contains(F.col(gone), _hash(x)), F.lit(False)))
-    count = F.when(F.col(text_col).isNotNull(), F.size(_lines(F.col(text_col)))).otherwise(0)
-    out = computed(found, n_lines=count.cast("long"), n_removed=F.when(F.col(gone).isNotNull(), count - F.size(left)).otherwise(0).cast("long"), **{text_col: F.when(F.col(gone).isNotNull(), F.array_join(left, "\n")).otherwise(F.col(text_col))})
+    found = keyed.join(sized_broadcast(hits, 80, F.size(gone) * 4), keyed[id_col].eqNullSafe(hits[fid]) & (keyed[key] == hits[fkey]), "left")
+    # array_except goes by a hash set, so a text of many lines costs no more a line than a short one
+    lines = _lines(F.col(text_col))
+    found = computed(found, **{left: F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.coalesce(gone, F.array().cast("array<int>"))), "n_lines": F.when(F.col(text_col).isNotNull(), F.size(lines)).otherwise(0).cast("long")})
+    kept = F.array_join(F.transform(left, lambda i: F.get(lines, i)), "\n")
+    out = computed(found, n_removed=F.when(F.col(gone).isNotNull(), F.col("n_lines") - F.size(left)).otherwise(0).cast("long"), **{text_col: F.when(F.col(gone).isNotNull(), kept).otherwise(F.col(text_col))})
     order = [c for c in docs.columns if c.lower() not in ("n_lines", "n_removed")]
     return out.select(*order, "n_lines", "n_removed")
 
