@@ -3,12 +3,14 @@
 Every labelled training text is counted: a task adds up its texts' n-grams by language and bucket, Spark adds up the
 tasks. The counts become one matrix of log probabilities, buckets by languages, which is broadcast; its size is bounded
 by MATRIX_CELLS, since the number of buckets shrinks as languages are added. Texts are scored whole and in batches:
-n-gram hashes are rolled over the characters in numpy, equal buckets of a text are counted once, and the counts meet
-the matrix rows that they name.
+n-gram hashes are rolled over the characters in numpy, equal buckets of a text are counted once, and a batch's counts are
+one sparse matrix of texts by buckets (row starts, buckets, counts) that meets the matrix rows that it names.
 
 Defined cases
 * null text, or text without any letter: `und`, score 0.
 * null language: not learned from. Nothing to learn from at all: `und`, score 0 for every text.
+* more than 128 languages: with each doubling of their number half as many buckets. More than 32768: ValueError, as an
+  n-gram model of under 256 buckets would tell nothing.
 * one language: predicted for every text with a letter, score 1.
 * ties: the language that sorts first. Repeated rows count and are returned as often as they stand.
 * empty table: no rows. Only the id is carried over, so other columns cannot clash.
@@ -31,6 +33,8 @@ MATRIX_CELLS = 1 << 23
 MAX_BUCKETS = 1 << 16
 #: Characters hashed at a time.
 SLAB = 1 << 20
+#: Texts scored at a time.
+TEXTS = 256
 UNKNOWN = "und"
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -97,11 +101,27 @@ def fit(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", orde
     return LanguageModel(languages, np.log(matrix / matrix.sum(axis=0)).astype(np.float32), np.log(prior / prior.sum()), orders)
 
 
-def predict_text(text: str, model: LanguageModel) -> tuple[str, float]:
-    at, n = bucket_counts(text, len(model.log_probability), model.orders)
-    log = model.log_prior + n.astype(np.float64) @ model.log_probability[at].astype(np.float64)
-    best = int(np.argmax(log))
-    return model.languages[best], float(1 / np.exp(log - log[best]).sum())
+def log_posterior(texts: list[str], model: LanguageModel) -> np.ndarray:
+    """Texts by languages, up to a constant a text: the prior, and the sparse counts times the log probabilities, SLAB cells of the product at a time."""
+    out = np.tile(model.log_prior, (len(texts), 1))
+    found = [bucket_counts(t, len(model.log_probability), model.orders) for t in texts]
+    starts = np.cumsum([0, *[len(at) for at, _ in found]])
+    buckets, counts = (np.concatenate([f[k] for f in found]) if found else np.zeros(0, np.int64) for k in (0, 1))
+    step = max(1, SLAB // len(model.languages))
+    for a in range(0, len(buckets), step):
+        b = min(a + step, len(buckets))
+        first = int(np.searchsorted(starts, a, "right")) - 1
+        last = int(np.searchsorted(starts, b, "left"))
+        cells = model.log_probability[buckets[a:b]].astype(np.float64) * counts[a:b, None]
+        out[first:last] += np.add.reduceat(cells, np.maximum(starts[first:last], a) - a)
+    return out
+
+
+def predict_texts(texts: list[str], model: LanguageModel) -> tuple[list[str], np.ndarray]:
+    """Languages and their posterior probabilities."""
+    log = log_posterior(texts, model)
+    best = log.argmax(axis=1)
+    return [model.languages[k] for k in best], 1 / np.exp(log - log.max(axis=1, keepdims=True)).sum(axis=1)
 
 
 def predict(docs: DataFrame, model: LanguageModel | None, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -114,8 +134,11 @@ def predict(docs: DataFrame, model: LanguageModel | None, *, id_col: str = "doc_
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [predict_text(t.as_py(), shared.value) if t.is_valid else (UNKNOWN, 0.0) for t in batch.column(1)]
-            langs, scores = zip(*found, strict=True) if found else ((), ())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=schema.names)
+            told = np.flatnonzero(batch.column(1).is_valid().to_numpy(zero_copy_only=False))
+            langs, scores = np.full(batch.num_rows, UNKNOWN, object), np.zeros(batch.num_rows)
+            for part in np.array_split(told, 1 + len(told) // TEXTS):
+                if len(part):
+                    langs[part], scores[part] = predict_texts([batch.column(1)[int(i)].as_py() for i in part], shared.value)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(langs, pa.string()), pa.array(scores)], names=schema.names)
 
     return rows.mapInArrow(run, schema)

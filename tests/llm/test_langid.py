@@ -40,8 +40,20 @@ def test_counts_and_posterior_match_plain_code(spark, monkeypatch):
     model = langid.fit(docs, max_buckets=256)
     counts = {x: sum((plain_grams(t, 256) for la, t in train if la == x), Counter()) for x in ("aa", "bb")}
     log = {x: math.log((2 if x == "aa" else 1) / 3) + sum(k * math.log((counts[x][b] + 1) / (sum(counts[x].values()) + 256)) for b, k in plain_grams("the hat", 256).items()) for x in counts}
-    lang, score = langid.predict_text("the hat", model)
+    (lang,), (score,) = langid.predict_texts(["the hat"], model)
     assert lang == max(log, key=log.get) and abs(score - 1 / sum(math.exp(v - max(log.values())) for v in log.values())) < 1e-4
+    # slabs of the product that end inside texts, or hold many
+    texts = ["the hat", "", "der " * 30, "x", "the cat sat on the mat"]
+    alone = np.concatenate([langid.log_posterior([t], model) for t in texts])
+    for slab in (2, 14, 1 << 20):
+        monkeypatch.setattr(langid, "SLAB", slab)
+        assert np.allclose(langid.log_posterior(texts, model), alone)
+
+
+def test_ties_go_to_the_first_language(spark):
+    docs = spark.createDataFrame([("zz", "same text"), ("aa", "same text")], "lang string, text string")
+    (lang, other), scores = langid.predict_texts(["same", "quite another"], langid.fit(docs))
+    assert (lang, other) == ("aa", "aa") and np.allclose(scores, 0.5)
 
 
 def test_odd_rows(spark):
