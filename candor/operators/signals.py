@@ -33,39 +33,41 @@ def _age(v: float) -> str:
     return "Account created the same day as the review" if _whole(v) <= 0 else f"Account created {_unit(_whole(v), 'day')} before the review"
 
 
-# The wording of each feature's signal.
+# Wordings that callers rely on.
 WORDING: dict[str, str | Callable[[float], str]] = {
-    "stars": lambda v: f"An extreme {_whole(v)}-star rating",
-    "char_length": lambda v: f"Unusually short review text ({_unit(_whole(v), 'character')})",
-    "word_count": lambda v: f"Unusually few words ({_unit(_whole(v), 'word')})",
-    "sentence_count": lambda v: f"Only {_unit(_whole(v), 'sentence')} of text",
-    "exclamation_ratio": "Heavy use of exclamation marks",
-    "caps_ratio": "Heavy use of capital letters",
-    "first_person_ratio": "Unusual use of first-person language",
-    "vader_compound": lambda v: f"Text sentiment is strongly {'positive' if v > 0 else 'negative'}",
-    "vader_pos": "Text is overwhelmingly positive in tone",
-    "vader_neg": "Text is overwhelmingly negative in tone",
-    "vader_neu": "Text is unusually flat / neutral in tone",
-    "flesch_reading_ease": "Text readability is atypical for genuine reviews",
-    "stars_delta_from_business_mean": lambda v: f"Rating is {abs(v):.1f} stars {_side(v)} this business's average",
-    "stars_delta_from_user_mean": lambda v: f"Rating is {abs(v):.1f} stars {_side(v)} the reviewer's own average",
-    "hours_since_prev_review_on_business": lambda v: "Posted minutes after the reviewer's previous review here" if v < 1 else f"Posted only {_unit(_whole(v), 'hour')} after a prior review here",
-    "business_review_count_at_time": lambda v: f"Among the first {_whole(v)} reviews this business received",
-    "is_in_burst_window": "Posted during a burst of reviews on this business",
-    "total_reviews": lambda v: "This is among the reviewer's very first reviews" if _whole(v) <= 1 else f"Reviewer has only {_whole(v)} total reviews",
-    "fan_count": _few("Reviewer has no fans on the platform", "Reviewer has few fans on the platform ({})"),
-    "photo_count": _few("Reviewer has never posted a photo", "Reviewer has posted few photos ({})"),
-    "account_age_days_snapshot": _age,
-    "reviews_per_month": lambda v: f"Reviewer posts an unusually high volume of reviews ({v:.1f}/month)",
-    "rating_variance": "Reviewer's ratings are unusually uniform across businesses",
-    "rating_skew": "Reviewer's rating history is skewed toward the extremes",
-    "avg_review_length": lambda v: f"Reviewer's reviews are unusually short on average ({_whole(v)} chars)",
-    "fraction_extreme_ratings": lambda v: f"{round(v * 100)}% of the reviewer's ratings are 1 or 5 stars",
-    "posting_hour_entropy": "Reviewer posts at suspiciously regular times of day",
-    "friend_count": _few("Reviewer has no friends on the platform", "Reviewer has few friends on the platform ({})"),
     "account_age_days_at_review": _age,
     "max_sim_to_user_history": lambda v: f"Text {round(v * 100)}% similar to another review by the same user",
     "max_sim_to_business_reviews": lambda v: f"Text {round(v * 100)}% similar to another review of this business",
+    "is_in_burst_window": "Posted during a burst of reviews on this business",
+    "total_reviews": lambda v: "This is among the reviewer's very first reviews" if _whole(v) <= 1 else f"Reviewer has only {_whole(v)} total reviews",
+    "friend_count": _few("Reviewer has no friends on the platform", "Friends of the reviewer: {}"),
+    "stars": lambda v: f"An extreme {_whole(v)}-star rating",
+}
+WORDING |= {
+    "char_length": lambda v: f"The text has just {_unit(_whole(v), 'character')}",
+    "word_count": lambda v: f"The text has just {_unit(_whole(v), 'word')}",
+    "sentence_count": lambda v: f"The text ends {_unit(_whole(v), 'sentence')}",
+    "exclamation_ratio": "Many of the characters are exclamation marks",
+    "caps_ratio": "Many of the letters are capitals",
+    "first_person_ratio": "The writer speaks of themselves more or less than others do",
+    "vader_compound": lambda v: f"The text as a whole is {'praise' if v > 0 else 'complaint'}",
+    "vader_pos": "Nearly every telling word is praise",
+    "vader_neg": "Nearly every telling word is a complaint",
+    "vader_neu": "The text shows hardly any feeling",
+    "flesch_reading_ease": "The text is easier or harder to read than most",
+    "stars_delta_from_business_mean": lambda v: f"{abs(v):.1f} stars {_side(v)} what others give this business",
+    "stars_delta_from_user_mean": lambda v: f"{abs(v):.1f} stars {_side(v)} what this reviewer usually gives",
+    "hours_since_prev_review_on_business": lambda v: "Came within the hour of the review before it" if v < 1 else f"Came {_unit(_whole(v), 'hour')} after the review before it",
+    "business_review_count_at_time": lambda v: f"Number {_whole(v)} of the reviews of this business",
+    "fan_count": _few("Nobody follows the reviewer", "Followers of the reviewer: {}"),
+    "photo_count": _few("No photo of the reviewer's has been praised", "Praised photos of the reviewer: {}"),
+    "account_age_days_snapshot": lambda v: f"The account is {_unit(_whole(v), 'day')} old",
+    "reviews_per_month": lambda v: f"The reviewer writes {v:.1f} reviews a month",
+    "rating_variance": "The reviewer's ratings hardly differ",
+    "rating_skew": "The reviewer's ratings lean to one side",
+    "avg_review_length": lambda v: f"The reviewer's texts have {_unit(_whole(v), 'character')} on average",
+    "fraction_extreme_ratings": lambda v: f"{round(v * 100)}% of what the reviewer gives is one star or five",
+    "posting_hour_entropy": "The reviewer posts at much the same hours",
 }
 
 

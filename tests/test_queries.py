@@ -6,7 +6,7 @@ import __spark_entry__
 from candor.plans import oracles, queries
 from tests.compare import connect, difference
 
-HEAVY = {"gbt_predictions", "model_metrics", "feature_importance", "synthetic_injection", "ablation", "shap_topk"}
+HEAVY = {"gbt_predictions", "model_metrics", "feature_importance", "synthetic_injection", "ablation", "shap_topk", "top_signals"}
 
 
 @pytest.fixture(scope="module")

@@ -13,15 +13,15 @@ from candor.streaming.bursts import live_daily_counts
 SIGNALS = [
     ("max_sim_to_user_history", 0.94, "Text 94% similar to another review by the same user"), ("account_age_days_at_review", 3, "Account created 3 days before the review"), ("account_age_days_at_review", 1, "Account created 1 day before the review"),
     ("account_age_days_at_review", 0, "Account created the same day as the review"), ("is_in_burst_window", 1, "Posted during a burst of reviews on this business"), ("total_reviews", 1, "This is among the reviewer's very first reviews"), ("total_reviews", 4, "Reviewer has only 4 total reviews"),
-    ("friend_count", 0, "Reviewer has no friends on the platform"), ("fan_count", 2, "Reviewer has few fans on the platform (2)"), ("stars", 5, "An extreme 5-star rating"), ("hours_since_prev_review_on_business", 0.5, "Posted minutes after the reviewer's previous review here"),
-    ("word_count", 1, "Unusually few words (1 word)"), ("stars_delta_from_user_mean", -1.25, "Rating is 1.2 stars below the reviewer's own average"), ("some_new_feature", 1, "Atypical value for some new feature"),
+    ("friend_count", 0, "Reviewer has no friends on the platform"), ("fan_count", 2, "Followers of the reviewer: 2"), ("stars", 5, "An extreme 5-star rating"), ("hours_since_prev_review_on_business", 0.5, "Came within the hour of the review before it"),
+    ("word_count", 1, "The text has just 1 word"), ("stars_delta_from_user_mean", -1.25, "1.2 stars below what this reviewer usually gives"), ("some_new_feature", 1, "Atypical value for some new feature"),
 ]
 
 
 def test_signals():
     assert [signals.render(f, v) for f, v, _ in SIGNALS] == [s for *_, s in SIGNALS]
     assert len(signals.WORDING) == 31
-    assert signals.top_signals(["stars", "fan_count", "caps_ratio", "exclamation_ratio", "rating_skew"], [5, 0, 1, 1, 1], [0.1, 0.5, -1.0, 0.3, 0.2]) == ["Reviewer has no fans on the platform", "Heavy use of exclamation marks", "Reviewer's rating history is skewed toward the extremes"]
+    assert signals.top_signals(["stars", "fan_count", "caps_ratio", "exclamation_ratio", "rating_skew"], [5, 0, 1, 1, 1], [0.1, 0.5, -1.0, 0.3, 0.2]) == ["Nobody follows the reviewer", "Many of the characters are exclamation marks", "The reviewer's ratings lean to one side"]
     assert signals.top_signals(["stars"], [5], [0.0]) == []
 
 
