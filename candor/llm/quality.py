@@ -12,6 +12,7 @@ Defined cases
 * null text: no words, score null, base rules fail (fewer than MIN_WORDS words), not kept.
 * empty text, or white space alone: as null text.
 * no target label at all: no ratio can be learned, the base rules alone decide.
+* a single target, or targets of one score: the threshold is that score, rounded down to six digits; ties with it stay.
 * repeated rows: each counts and each is judged; several labels for one id: it is target if any row is.
 * result columns replace input columns of the same name; other columns pass through.
 """
@@ -84,7 +85,8 @@ def fit_ratio(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", tex
     model = RatioModel(tuple(round(math.log(o) - all_own - math.log(r) + all_raw, 9) for o, r in zip(own, raw, strict=True)), 0.0)
     own_docs = computed(hashed.filter(F.col("_target") == 1), _g=_buckets(F.col("_h"), buckets))
     mean, sd = own_docs.select(_mean_ratio(F.col("_g"), model.column()).alias("s")).agg(F.avg("s"), F.stddev_pop("s")).first()
-    return RatioModel(model.weights, round((mean or 0.0) - spread * (sd or 0.0), 6))
+    # rounded down, so that targets of one score pass their own threshold
+    return RatioModel(model.weights, math.floor(((mean or 0.0) - spread * (sd or 0.0)) * 1e6) / 1e6)
 
 
 def _repeat_words(ordered: Column) -> Column:

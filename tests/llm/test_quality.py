@@ -1,7 +1,11 @@
+import math
 import re
+import statistics
+import struct
 from collections import Counter
 
 import pytest
+import xxhash
 
 from candor.llm import quality
 
@@ -34,6 +38,57 @@ def test_statistics_match_brute_force(spark, sf):
         assert not (r.kept and r.base_failed)
 
 
+def brute_buckets(text):
+    hashed = [xxhash.xxh64_intdigest(w.encode(), seed=42) for w in WORD.findall(text or "")]
+    pairs = [xxhash.xxh64_intdigest(struct.pack("<Q", b), seed=xxhash.xxh64_intdigest(struct.pack("<Q", a), seed=42)) for a, b in zip(hashed, hashed[1:])]
+    return [x % quality.BUCKETS for x in hashed + pairs]
+
+
+def brute_scores(rows, targets):
+    """Scores of (id, text) rows in their order, and the threshold."""
+    grams = [brute_buckets(t) for _, t in rows]
+    raw, own = ([1] * quality.BUCKETS for _ in range(2))
+    for (i, _), found in zip(rows, grams):
+        for b in found:
+            raw[b] += 1
+            own[b] += i in targets
+    weight = [math.log(o / sum(own)) - math.log(r / sum(raw)) for o, r in zip(own, raw)]
+    scores = [sum(weight[b] for b in found) / len(found) if found else None for found in grams]
+    trusted = [s for (i, _), s in zip(rows, scores) if i in targets and s is not None]
+    return scores, statistics.fmean(trusted) - quality.SPREAD * statistics.pstdev(trusted)
+
+
+def test_scores_and_verdicts_match_brute_force(spark, sf):
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    targets = {r.doc_id for r in labels.collect() if r.quality == 1 and not r.toxic}
+    scores, threshold = brute_scores(rows, targets)
+    told = {i: s for (i, _), s in zip(rows, scores)}
+    out = quality.quality_rules(docs, labels).collect()
+    assert len(told) == len(out)
+    for r in out:
+        assert r.score == pytest.approx(told[r.doc_id], abs=1e-7)
+        if abs(told[r.doc_id] - threshold) > 1e-5:
+            assert r.kept == (not r.base_failed and told[r.doc_id] > threshold)
+
+
+@pytest.mark.parametrize("n", range(6))
+def test_a_single_target_is_kept_by_its_own_threshold(spark, n):
+    texts = {i: " ".join(f"w{(i * 7 + j * j * (i + n + 1)) % 83}" for j in range(80)) for i in range(4)}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    labels = spark.createDataFrame([(n % 4, 1, 0)], LABELS)
+    assert {r.doc_id for r in quality.quality_rules(docs, labels).collect() if r.kept} >= {n % 4}
+
+
+def test_two_targets_are_kept(spark):
+    rows = [(i, " ".join(f"{'good' if i < 2 else 'poor'}{(j * (i + 2)) % 71}" for j in range(60))) for i in range(8)]
+    docs, labels = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(0, 1, 0), (1, 1, None), (5, 1, 1)], LABELS)
+    scores, threshold = brute_scores(rows, {0, 1})
+    out = {r.doc_id: r for r in quality.quality_rules(docs, labels).collect()}
+    assert [out[i].score for i in range(8)] == pytest.approx(scores, abs=1e-7)
+    assert {i for i, r in out.items() if r.kept} == {i for i, s in enumerate(scores) if s >= threshold and not out[i].base_failed} >= {0, 1}
+
+
 def test_clean_stays_and_junk_goes(spark, sf):
     docs, labels = (spark.read.parquet(f"{sf.replace('0.001', '0.1')}/{t}.parquet") for t in ("documents", "labels"))
     out = quality.quality_rules(docs, labels).join(labels, "doc_id").filter(~quality.F.col("base_failed"))
