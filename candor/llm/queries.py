@@ -108,6 +108,59 @@ def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", "host", "path", "rule", "verdict", "confidence")
 
 
+def url_explicit_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of operator 2: host, path and what the explicit rules decide."""
+    return op2_url_filters(spark, sf_dir).select("page_id", "host", "path", "rule", F.when(F.col("rule").isNotNull(), F.col("verdict")).alias("rule_verdict"))
+
+
+_URL_REST = "case when contains(url, '://') then substr(url, strpos(url, '://') + 3) else '' end"
+
+URL_SQL = f"""
+with rules(rule, rule_host, rule_path, rule_verdict) as (values ('net/', 'net', '/', 'block'), ('example.net/en/', 'example.net', '/en/', 'allow'), ('example.com/de/', 'example.com', '/de/', 'block'), ('org/fr/', 'org', '/fr/', 'allow')),
+parts as (select row_number() over () r, page_id, coalesce(regexp_extract(rest, '^[^/?#]*'), '') h, coalesce(rest, '') rest from (select page_id, {_URL_REST} rest from pages)),
+urls as (select r, page_id, translate(h, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') host, regexp_extract(substr(rest, length(h) + 1), '^[^?#]*') path from parts),
+fits as (select r, max_by(rule, length(rule)) rule, max_by(rule_verdict, length(rule)) rule_verdict from urls join rules on (host = rule_host or ends_with(host, '.' || rule_host)) and starts_with(path, rule_path) group by r)
+select page_id, host, path, rule, rule_verdict from urls left join fits using (r)
+"""
+
+
+def lm_base_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of operator 5: all but the interpolated model's score."""
+    return op5_lm_scoring(spark, sf_dir).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", F.round("base_score", 4).alias("base_score"))
+
+
+_WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
+# CRC-32 bit by bit, as DuckDB has no function for it
+_CRC = """xor(4294967295, list_reduce(list_prepend(4294967295::bigint, list_transform(string_split(doc_id::varchar, ''), lambda x: ascii(x)::bigint)),
+  lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0]::bigint[], lambda a, z: xor(a >> 1, 3988292384::bigint * (a & 1)))))"""
+
+LM_SQL = f"""
+with docs as (select row_number() over () r, doc_id, {_CRC} % 7 = 2 held_out,
+  {_WORDS.format("translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} w from documents),
+tokens as (select r, held_out, unnest(list_append(w, ' ')) t from docs),
+counted as (select t, count(*) c from tokens where not held_out group by t),
+totals as (select coalesce(sum(c), 0) n, count(*) v from counted),
+scored as (select r, count(*) n_tokens, count(c) n_known, sum(log10((coalesce(c, 0) + 1)::double / (n + 1 * (v + 1))::double)) s from tokens left join counted using (t), totals group by r)
+select doc_id, held_out, n_tokens::bigint n_tokens, n_known::bigint n_known, n::bigint train_tokens, round(s, 4) base_score from docs join scored using (r), totals
+"""
+
+
+def quality_base_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of operator 6: all but the ratio's verdict."""
+    return op6_quality_rules(spark, sf_dir).select("doc_id", *quality.STATS, "base_failed")
+
+
+QUALITY_SQL = f"""
+with docs as (select row_number() over () r, doc_id, t, {_WORDS.format("t")} w, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) l from (select doc_id, coalesce(text, '') t from documents)),
+wins as (select r, p, array_to_string(w[p:p + 2], ' ') g from (select r, w, unnest(range(1, len(w) - 1)) p from docs where len(w) >= 3)),
+often as (select r, g from wins group by r, g having count(*) > 1),
+hit as (select r, count(distinct q) n from (select r, unnest(range(p, p + 3)) q from wins join often using (r, g)) group by r),
+base as (select doc_id, len(w)::bigint n_words, length(array_to_string(w, ''))::bigint word_chars, len(regexp_extract_all(t, '[#*$%&|<>]'))::bigint n_symbols,
+  (len(l) - len(list_distinct(l)))::bigint n_dup_lines, coalesce(n, 0)::bigint n_repeat_words from docs left join hit using (r))
+select *, n_words < 50 or 100 * n_repeat_words > 50 * n_words base_failed from base
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_url_filters": op2_url_filters,
@@ -119,10 +172,17 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_html_extraction": op8_html_extraction,
     "op9_simhash_near_dedup": op9_simhash_near_dedup,
     "op10_language_id": op10_language_id,
+    # what SQL can express of operators that it cannot express whole
+    "url_explicit_rules": url_explicit_rules,
+    "lm_base_scores": lm_base_scores,
+    "quality_base_statistics": quality_base_statistics,
 }
 
 ORACLES: dict[str, str] = {
     "op3_benchmark_decontamination": OP3_SQL,
     "op4_line_dedup": OP4_SQL,
     "op7_warc": OP7_SQL,
+    "url_explicit_rules": URL_SQL,
+    "lm_base_scores": LM_SQL,
+    "quality_base_statistics": QUALITY_SQL,
 }
