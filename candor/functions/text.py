@@ -43,22 +43,26 @@ def features(text: Column) -> dict[str, Column]:
     }
 
 
-def syllables(words: Column) -> Column:
-    """Of words with a space between them: groups of vowels, less a silent e after another group, and one where there is none."""
-    groups = _count(words, "(?i)[aeiouy]+")
-    silent = _count(words, "(?i)[aeiouy][^aeiouy ]+[aeiouy]*e(?![^ ])")
-    without = _count(words, "(?i)(?<![^ ])[^aeiouy ]+(?![^ ])")
-    return groups - silent + without
+#: A later group of vowels of a lower-case word, but for a silent e that ends the word.
+LATER_GROUP = "(?<=[aeiouy])[^aeiouy ]++[aeiouy]++(?:(?<!e)|(?=[^ ]))"
+
+
+def later_groups(words: Column) -> Column:
+    """Of lower-case words with a space between them: the syllables beyond the one that every word has."""
+    return _count(words, LATER_GROUP)
 
 
 def flesch(text: Column) -> Column:
-    """Reading ease; zero for null text and text without words. Sentence ends are counted one by one, at least one."""
+    """Reading ease; zero for null text and text without words. Sentence ends are counted one by one, at least one.
+
+    No part stands under a condition, so the generated code takes the words apart once.
+    """
     text = F.coalesce(text, F.lit(""))
-    words = F.array_join(F.regexp_extract_all(text, F.lit(LETTERS), F.lit(0)), " ")
-    n = _count(words, "[^ ]+").cast("double")
+    words = F.regexp_extract_all(text, F.lit(LETTERS), F.lit(0))
+    n = F.size(words)
     ends = F.greatest(F.lit(1), _count(text, "[.!?]")).cast("double")
-    spoken = syllables(words).cast("double")
-    return F.when(n > 0, 206.835 - 1.015 * n / ends - 84.6 * spoken / F.when(n > 0, n)).otherwise(0.0)
+    spoken = (n + later_groups(F.lower(F.array_join(words, " ")))).cast("double")
+    return F.coalesce(206.835 - 1.015 * n.cast("double") / ends - 84.6 * spoken / F.nullif(n.cast("double"), F.lit(0.0)), F.lit(0.0))
 
 
 def snippet(text: Column, n: int = 200) -> Column:
