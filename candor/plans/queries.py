@@ -216,9 +216,13 @@ def embedding_max_sim_label(spark, d):
     return rounded(similarity.vector_similarity(adapters.table(spark, d, "embeddings"), "label", "vec_id", "embedding"), 5)
 
 
+#: Reviews with texts in a file: some 20 MB before compression.
+ROWS_A_FILE = 8192
+
+
 def _reviews(spark: SparkSession, d: str) -> DataFrame:
     """The reviews with their texts, written once: every family of signals reads them again."""
-    return written(adapters.reviews(spark, d, text=True), "reviews")
+    return written(adapters.reviews(spark, d, text=True), "reviews", ROWS_A_FILE)
 
 
 def _enriched(spark: SparkSession, d: str, reviews: DataFrame | None = None) -> DataFrame:

@@ -44,16 +44,17 @@ def new_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
+def written(df: DataFrame, label: str, rows_a_file: int = 0) -> DataFrame:
     """The frame as a Parquet table in the shared folder: computed once, and kept if an executor is lost.
 
+    rows_a_file keeps files of texts small: a file that compresses well is else read by a single task, however long its texts are.
     Nothing else reads the shuffle files of the write, so they go with its end and not when the driver's memory is tidied.
     """
     spark, path = df.sparkSession, new_path(df.sparkSession, label)
     before = spark.conf.get(_SHUFFLE_CLEANUP, None)
     spark.conf.set(_SHUFFLE_CLEANUP, "true")
     try:
-        df.write.parquet(path)
+        df.write.option("maxRecordsPerFile", rows_a_file).parquet(path)
     finally:
         spark.conf.unset(_SHUFFLE_CLEANUP) if before is None else spark.conf.set(_SHUFFLE_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
