@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,6 +33,14 @@ def sized_broadcast(df: DataFrame, row_bytes: int, more: Column | None = None, l
     return F.broadcast(df) if rows * row_bytes + (extra or 0) <= limit else df
 
 
+def released() -> None:
+    """Gives back what a worker has freed, of Arrow's memory and the allocator's where there is a call for it."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def fresh(taken: list[str], name: str) -> str:
     """A column name that no column has, in any case of its letters."""
     low = {c.lower() for c in taken}

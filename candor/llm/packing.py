@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import sized_broadcast, written
+from .common import released, sized_broadcast, written
 
 CAPACITY = 2048
 #: Decisions of the search after which the incumbent stands.
@@ -122,7 +122,7 @@ class _Parts(dict):
         self.update(zip(words, [flat[s:e] for s, e in zip(starts, (4 * cuts).tolist(), strict=True)], strict=bool(words)))
 
 
-#: By path; a worker process keeps them from task to task.
+#: By path; a worker process keeps the tokenizers from task to task, and the parts that it has met for a task.
 _KNOWN: dict[str, _Parts] = {}
 
 
@@ -154,7 +154,8 @@ def cut(docs: DataFrame, tokenizer_path: str, *, capacity: int = CAPACITY, end_i
                         length.append(len(tokens[-1]) // 4)
                 n = np.array(number, np.int32)
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row, pa.int64())), pa.array(n), pa.array(n.astype(np.int64) * capacity), pa.array(length, pa.int64()), pa.array(tokens, pa.binary())], names=schema.names)
-        pa.default_memory_pool().release_unused()  # the worker waits for its next task beside others
+        parts.clear()  # the worker waits for its next task beside others, which need the memory
+        released()
 
     return docs.select(id_col, text_col).mapInArrow(pieces, schema)
 

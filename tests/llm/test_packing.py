@@ -3,6 +3,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -145,3 +146,16 @@ def test_hot_lengths_are_ranked_in_parts(spark):
     rows = packing.assign(frame, ranked=64).collect()
     assert Counter(r.length for r in rows) == Counter(lengths)
     assert check_places(rows) == packing.plan_sequences(Counter(lengths)).sequences
+
+
+def test_workers_keep_no_words(spark):
+    """What a task has met goes with its end; a worker that waits would else hold it beside the stages that follow."""
+    path = queries.tokenizer_path()
+    docs = spark.createDataFrame([(i, f"some words of text {i}") for i in range(80)], "doc_id long, text string").repartition(8)
+    assert packing.cut(docs, path).count() == 80
+
+    def held(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([sum(map(len, packing._KNOWN.values()))])], names=["n"])
+
+    assert spark.range(0, 80, 1, 8).mapInArrow(held, "n long").agg({"n": "max"}).first()[0] == 0
