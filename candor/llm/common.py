@@ -16,6 +16,9 @@ from candor.sources.staging import written as written
 #: A side of a join is broadcast only if its counted rows need at most this many bytes.
 BROADCAST_BYTES = 32 * 1024 * 1024
 
+#: Of an Arrow batch of texts.
+TEXT_BYTES = 4 * 1024 * 1024
+
 #: ASCII white space, the only characters that separate words in most contracts.
 SPACE_CLASS = r"\x20\x09-\x0D"
 WORD = rf"[^{SPACE_CLASS}]+"

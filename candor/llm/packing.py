@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import released, sized_broadcast, written
+from .common import TEXT_BYTES, released, sized_broadcast, written
 
 CAPACITY = 2048
 #: Decisions of the search after which the incumbent stands.
@@ -48,8 +48,8 @@ STEPS = 250
 RANKED = 1000
 #: Parts of texts whose ids a worker remembers.
 CACHED = 700_000
-#: Characters that are tokenized at a time; a worker's memory is some ten times as many bytes.
-SLICE_CHARS = 1 << 21
+#: Bytes of text that are tokenized at a time, where no single text is longer; beside the words met, a worker needs some 70 times as many.
+SLICE_CHARS = 1 << 19
 
 
 # How one vocabulary's file says that it normalizes and splits texts.
@@ -371,7 +371,7 @@ def _slots(plan: Plan) -> pa.Table:
 
 def assign(pieces: DataFrame, *, capacity: int = CAPACITY, nodes: int = NODES, ranked: int = RANKED) -> DataFrame:
     """The pieces (any frame with a length from 1 to capacity) with sequence_id and offset. Written once to the shared folder."""
-    pieces = written(pieces.drop("sequence_id", "offset"), "pieces")
+    pieces = written(pieces.drop("sequence_id", "offset"), "pieces", batch_bytes=TEXT_BYTES)
     histogram = {int(r["length"]): int(r["n"]) for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most `capacity` rows
     plan = plan_sequences(histogram, capacity, nodes)
     # a piece that fills a sequence needs no rank, only a number beyond those of the plan

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fresh, shared_dir, text_key, written
+from .common import TEXT_BYTES, fresh, released, shared_dir, text_key, written
 
 SHINGLE = 3
 RADIUS = 2
@@ -77,6 +77,7 @@ def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
             texts = batch.column(len(keep)).cast(pa.large_binary())
             found = np.fromiter((fingerprint(t.as_py() or b"") for t in texts), np.uint64, batch.num_rows)
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(found.view(np.int64))], names=schema.names)
+        released()
 
     return docs.select(*keep, F.col(text_col).alias("_text")).mapInArrow(run, schema)
 
@@ -215,7 +216,7 @@ def classes(prints: DataFrame, radius: int = RADIUS, **sizes: int) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, extra: list[str] | None = None) -> DataFrame:
     """Each row's id (and extra columns), fingerprint, root and component_id."""
-    own = written(fingerprints(docs, id_col=id_col, text_col=text_col, extra=extra), "fingerprints")
+    own = written(fingerprints(docs, id_col=id_col, text_col=text_col, extra=extra), "fingerprints", batch_bytes=TEXT_BYTES)
     prints = written(own.groupBy("fingerprint").agg(F.min(id_col).alias("low")), "distinct-fingerprints")
     # both sides of the join are plain tables, so Spark can split a fingerprint that many rows share
     return own.join(written(classes(prints, radius), "classes"), "fingerprint")

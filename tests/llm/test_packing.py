@@ -5,6 +5,8 @@ from collections import Counter, defaultdict
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
 from candor.llm import packing, queries
@@ -159,3 +161,28 @@ def test_workers_keep_no_words(spark):
             yield pa.RecordBatch.from_arrays([pa.array([sum(map(len, packing._KNOWN.values()))])], names=["n"])
 
     assert spark.range(0, 80, 1, 8).mapInArrow(held, "n long").agg({"n": "max"}).first()[0] == 0
+
+
+def test_a_worker_holds_few_texts_at_a_time(spark, monkeypatch):
+    """Some 4 MB of texts come to a worker at once, however many rows that is, and are tokenized 512 KB at a time."""
+    asked = []
+
+    class Spy(dict):
+        def tokenize(self, texts):
+            asked.append(sum(map(len, texts)))
+            return [b"" for _ in texts]
+
+    class Docs:
+        schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType())])
+        select = lambda self, *_: self
+        mapInArrow = lambda self, f, _: f  # noqa: E731, N815
+
+    monkeypatch.setitem(packing._KNOWN, "spy", Spy())
+    texts = ["a" * 10_000] * 400
+    list(packing.cut(Docs(), "spy")(iter([pa.RecordBatch.from_arrays([pa.array(range(400)), pa.array(texts)], names=["doc_id", "text"])])))
+    assert sum(asked) == 4_000_000 and max(asked) <= (1 << 19) + 10_000
+
+    docs = spark.range(0, 1000, 1, 1).select(F.col("id").alias("doc_id"), F.repeat(F.lit("a"), 20_000).alias("text"))
+    sizes = lambda batches: (pa.RecordBatch.from_arrays([pa.array([b.nbytes])], names=["n"]) for b in batches)
+    seen = [r.n for r in packing.written(docs.mapInArrow(sizes, "n long"), "sizes", batch_bytes=packing.TEXT_BYTES).collect()]
+    assert sum(seen) >= 20_000_000 and max(seen) < 6_000_000
