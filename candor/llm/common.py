@@ -9,13 +9,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from candor.sources.staging import BROADCAST_BYTES as BROADCAST_BYTES
 from candor.sources.staging import new_path as new_path
 from candor.sources.staging import shared_dir as shared_dir
+from candor.sources.staging import sized_broadcast as sized_broadcast
 from candor.sources.staging import written as written
 
-#: A side of a join is broadcast only if its counted rows need at most this many bytes.
-BROADCAST_BYTES = 32 * 1024 * 1024
-
 #: Of an Arrow batch of texts.
 TEXT_BYTES = 4 * 1024 * 1024
 
@@ -30,12 +29,6 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def sized_broadcast(df: DataFrame, row_bytes: int, more: Column | None = None, limit: int = BROADCAST_BYTES) -> DataFrame:
-    """Marks the frame for broadcast if its rows, and `more` bytes of each, are counted and fit the limit; else Spark shuffles it."""
-    rows, extra = df.agg(F.count(F.lit(1)), F.sum(more) if more is not None else F.lit(0)).first()
-    return F.broadcast(df) if rows * row_bytes + (extra or 0) <= limit else df
-
-
 def released() -> None:
     """Gives back what a worker has freed, of Arrow's memory and the allocator's where there is a call for it."""
     pa.default_memory_pool().release_unused()
